@@ -89,11 +89,13 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         at = to
 
 
-def word_hashes(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each ASCII-lower-cased word of all texts, and where each text's words begin (and the last's end)."""
+def words_of(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each ASCII-lower-cased word of all texts; where each text's words begin (and the last's end); where
+    each word's bytes begin and end."""
     data, offsets = text_bytes(texts)
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none
     inside = keep[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -101,12 +103,16 @@ def word_hashes(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none
     word = np.cumsum(begins) - 1
     place = np.arange(len(data)) - starts[word]
     place[~inside] = 0
     parts = BYTE_CODES[LOWERED[data]]
     parts *= stream(2, int(place.max()) + 1)[place] | np.uint64(1)
     parts[~inside] = 0
-    hashes = np.add.reduceat(parts, starts)
-    return mixed(hashes), np.searchsorted(starts, offsets)
+    return mixed(np.add.reduceat(parts, starts)), np.searchsorted(starts, offsets), starts, starts + np.add.reduceat(inside, starts, dtype=np.int64)
+
+
+def word_hashes(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of ``words_of``."""
+    return words_of(texts, keep)[:2]

@@ -30,9 +30,10 @@ TREES = 8
 LEAF = 512
 #: Children per set at a node that branches again, and how often nodes do.
 WAYS = 2
-DEPTH = 4
-#: A child with more than this share of a large parent's sets is dense.
-DENSE = 0.5
+DEPTH = 6
+#: A large node is dense if its sets are so similar on average, as SAMPLED coordinates show.
+DENSE = 0.6
+SAMPLED = 16
 #: Sets that each block of a dense node is compared with.
 PIVOTS = 8
 #: Tokens by which the sketches of linked sets agree at least: 0.85 less five standard deviations of 64 tokens.
@@ -112,14 +113,22 @@ def together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, rep and mins sorted by path to the path and rep of sets whose sketch agrees with another's in the node."""
+    """path, tree, rep, mins and leaves sorted by path to the path and rep of sets whose sketch agrees with another's in the node.
+
+    leaves: bits of the trees whose root node of this set is a leaf. Two sets that also meet in an earlier such leaf are
+    compared there and not again here.
+    """
+    bits = 1 << np.arange(TREES)
     for batch in groups(batches, ["path"]):
         if batch.num_rows < 2:
             continue
         mins = batch.column("mins").flatten().to_numpy().reshape(-1, TOKENS)
+        roots = mins[:, :: TOKENS // TREES]
+        earlier = (batch.column("leaves").to_numpy()[:, None] & bits > 0) & (np.arange(TREES) < batch.column("tree")[0].as_py())
         keep = np.zeros(len(mins), bool)
         for i in range(len(mins) - 1):
             same = np.flatnonzero((mins[i + 1 :] == mins[i]).sum(axis=1) >= SKETCH_AGREE) + i + 1
+            same = same[~((roots[same] == roots[i]) & earlier[i]).any(axis=1)]
             keep[same] = True
             keep[i] |= len(same) > 0
         if keep.any():
@@ -228,29 +237,39 @@ def child(path: Column, way: Column, level: int) -> Column:
     return F.xxhash64(path, way, F.get("mins", coordinate))
 
 
+def density(members: DataFrame) -> DataFrame:
+    """path and the share of pairs of its sets that agree in a token: the mean similarity, from SAMPLED coordinates."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(SAMPLED - 1)), lambda i: F.struct(i.alias("i"), F.get("mins", F.pmod(F.xxhash64("path", i), F.lit(TOKENS)).cast("int")).alias("token")))
+    counts = members.select("path", "size", F.explode(tokens).alias("x")).groupBy("path", "size", "x").agg(F.count("*").cast("double").alias("n"))
+    return counts.groupBy("path").agg((F.sum(F.col("n") * F.col("n")) / F.max(F.col("size").cast("double") * F.col("size")) / SAMPLED).alias("mean"))
+
+
 def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
     """Edges (a > b) whose components are those of the links. ``sketches``: rep and mins of distinct sets."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("mins", t * (TOKENS // TREES))))
-    nodes = sketches.select("rep", F.explode(roots).alias("path"))
-    sizes = nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    crowd = pinned(nodes.join(sizes, "path"))
-    leaves = [crowd.where(F.col("size") <= LEAF).select("path", "rep")]
+    roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mins", t * (TOKENS // TREES))).alias("path")))
+    crowd = pinned(sized(sketches.select("rep", F.explode(roots).alias("n")).select("rep", "n.tree", "n.path")))
+    leaves = [crowd.where(F.col("size") <= LEAF).select("path", "tree", "rep")]
+    in_leaf = leaves[0].groupBy("rep").agg(F.sum(F.expr("shiftleft(1L, tree)")).alias("leaves"))
     dense = []
-    large = crowd.where(F.col("size") > LEAF)
-    for level in range(1, DEPTH + 1):
+    large = crowd.where(F.col("size") > LEAF).select("path", "rep", "size")
+    for level in range(DEPTH + 1):
         if large.isEmpty():
             break
+        if level == DEPTH:
+            dense.append(large)
+            break
+        with_tokens = pinned(large.join(sketches, "rep"))
+        judged = with_tokens.join(density(with_tokens), "path")
+        dense.append(judged.where(F.col("mean") >= DENSE).select("path", "rep", "size"))
         ways = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: child(F.col("path"), w, level)))
-        below = large.join(sketches, "rep").select("rep", F.col("size").alias("above"), ways.alias("path"))
-        nodes = pinned(sized(below))
-        leaves.append(nodes.where(F.col("size") <= LEAF).select("path", "rep"))
-        stays = F.lit(True) if level == DEPTH else F.col("size") > DENSE * F.col("above")
-        dense.append(nodes.where((F.col("size") > LEAF) & stays).select("path", "rep", "size"))
-        large = nodes.where((F.col("size") > LEAF) & ~stays).select("path", "rep", "size")
+        nodes = pinned(sized(judged.where(F.col("mean") < DENSE).select("rep", ways.alias("path"))))
+        leaves.append(nodes.where(F.col("size") <= LEAF).select("path", F.lit(TREES).alias("tree"), "rep"))
+        large = nodes.where(F.col("size") > LEAF).select("path", "rep", "size")
     small = leaves[0]
     for x in leaves[1:]:
         small = small.unionByName(x)
-    pairs = small.join(sketches, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(alike, "path long, rep long")
+    told = sketches.join(in_leaf, "rep", "left").select("rep", "mins", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    pairs = small.join(told, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(alike, "path long, rep long")
     wanted = pairs.select("path", F.lit(0).alias("block"), F.lit(0).alias("role"), "rep")
     blocks = None
     if dense:
@@ -275,7 +294,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
             counted = apart.join(apart.groupBy("path").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("lots")), "path")
             lot = F.pmod(F.xxhash64("rep", "path"), F.col("lots")).cast("int")
             spread = counted.join(blocks.select("path", "n_blocks").distinct(), "path")
-            guests = spread.select("path", (F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)) * F.col("lots") + lot).cast("int").alias("block"), F.lit(2).alias("role"), "rep")
+            guests = spread.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: b * F.col("lots") + lot)).alias("block"), F.lit(2).alias("role"), "rep")
             hosts = blocks.join(counted.select("path", "lots").distinct(), "path")
             hosts = hosts.join(counted.select("path", "rep", F.lit(True).alias("guest")), ["path", "rep"], "left")
             own = hosts.select("path", F.explode(F.sequence(F.col("block") * F.col("lots"), F.col("block") * F.col("lots") + F.col("lots") - 1)).alias("block"), F.lit(0).alias("role"), "rep")

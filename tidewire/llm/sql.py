@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewire.llm import licenses
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,4 +39,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ss USING (doc_id)
 """
 
-ORACLES = {"op2_near_dedup": OP2, "op3_decontaminate": OP3}
+OP7 = r"""
+WITH l AS (SELECT doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: {'i': i - 1, 't': x[i]}), recursive := true) FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+q AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(t, ' ') <> ''),
+w AS (SELECT doc_id, p, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT q.doc_id, q.i FROM r JOIN q ON q.doc_id = r.doc_id AND q.p BETWEEN r.p AND r.p + 2 WHERE r.n > 1),
+k AS (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND g.i = l.i) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, coalesce(length(k.text), 0)::BIGINT AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+OP5 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + n + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {"op4_license_scan": licenses.oracle(), "op5_chat_format": OP5.replace("\\\\", "\\"), "op7_line_dedup": OP7, "op2_near_dedup": OP2, "op3_decontaminate": OP3}
