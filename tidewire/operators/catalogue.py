@@ -48,5 +48,5 @@ def unlisted(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 def best_listing(candidates: DataFrame) -> DataFrame:
     """Of each company's candidates the best exchange, then the best name, then the shortest symbol, then the first."""
-    order = Window.partitionBy("company").orderBy("exchange_rank", F.desc("name_score"), F.length("symbol"), "ordinal")
+    order = Window.partitionBy("company").orderBy("exchange_rank", F.desc("name_score"), F.length("symbol"), "ordinal", "symbol")
     return candidates.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")

@@ -60,7 +60,7 @@ ORACLES = {
     "symbols_in_sector": f"SELECT short_name FROM {STOCKS} WHERE industry = 'ASIA' OR sector = 'ASIA'",
     "watchlist_quotes": f"SELECT short_name, position, coalesce(name, short_name) AS name, price, price_change_percent FROM {WATCHLIST} LEFT JOIN {STOCKS} USING (short_name)",
     "catalogue_best_listing": """SELECT l_orderkey AS company, l_suppkey::VARCHAR AS symbol, l_linenumber AS ordinal, floor(l_quantity % 4)::INT AS exchange_rank, floor(l_discount * 1000)::INT AS name_score FROM lineitem
-        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity % 4)::INT, floor(l_discount * 1000)::INT DESC, length(l_suppkey::VARCHAR), l_linenumber) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity % 4)::INT, floor(l_discount * 1000)::INT DESC, length(l_suppkey::VARCHAR), l_linenumber, l_suppkey::VARCHAR) = 1""",
     "price_series": f"SELECT p.* FROM {PRICES} p LEFT JOIN (SELECT DISTINCT short_name, ts::DATE AS day FROM {PRICES} WHERE interval = '1d') b ON b.short_name = p.short_name AND b.day = p.ts::DATE WHERE interval = '1d' OR b.day IS NULL",
     "latest_price": f"SELECT short_name, ts, close FROM {PRICES} QUALIFY row_number() OVER (PARTITION BY short_name ORDER BY ts DESC, interval) = 1",
     "price_changes": f"SELECT * FROM (SELECT short_name, ts, close, lag(close) OVER (PARTITION BY short_name ORDER BY ts) AS before FROM {PRICES} WHERE interval = 'snap') WHERE before IS NULL OR abs(close - before) > 1e-9",
