@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tidewire.llm import chat, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, substring_dedup
+from tidewire.llm import chat, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, secrets, substring_dedup
 from tidewire.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.span_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op4_license_scan, op5_chat_format, op6_media, op7_line_dedup, op8_language_id, op9_mixing, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_decontaminate, op4_license_scan, op5_chat_format, op6_media, op7_line_dedup, op8_language_id, op9_mixing, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
