@@ -41,6 +41,8 @@ def grams(text: str) -> np.ndarray:
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(codes):
+        return codes, codes
     codes.sort()
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[first], np.diff(np.append(first, len(codes)))
