@@ -68,7 +68,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def slots(goals: DataFrame) -> DataFrame:
     """shard, slot, source and block of the whole mix."""
     lots = goals.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("draws") / LOT).cast("long") - 1)).alias("lot"))
-    draws = lots.repartition("source", "lot").select("source", "blocks", "all_draws", "first_draw", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("draws"), (F.col("lot") + 1) * LOT) - 1)).alias("draw"))
+    width = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: lots are few and small, what they list isn't
+    draws = lots.repartition(width, "source", "lot").select("source", "blocks", "all_draws", "first_draw", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("draws"), (F.col("lot") + 1) * LOT) - 1)).alias("draw"))
     place = permuted(F.col("first_draw") + F.col("draw"), F.col("all_draws"), F.lit("slots"))
     block = permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(F.col("draw") / F.col("blocks")))
     return draws.select("source", place.alias("place"), block.alias("block")).select(F.floor(F.col("place") / SHARD_SLOTS).cast("long").alias("shard"), (F.col("place") % SHARD_SLOTS).cast("long").alias("slot"), "source", "block")
@@ -100,7 +101,8 @@ def mixed(documents: DataFrame) -> DataFrame:
     sizes = pinned(sized(documents))
     parts, dealt = pieces(placed(sizes)), slots(pinned(targets(sizes)))
     same = parts.source.eqNullSafe(dealt.source) & (parts.block == dealt.block)
-    return dealt.join(parts, same).select("shard", "slot", dealt.source, dealt.block, "doc_id", "first_word", "words")
+    # the planner takes what the draws list for as small as the table of sources, so the join is named
+    return dealt.hint("merge").join(parts, same).select("shard", "slot", dealt.source, dealt.block, "doc_id", "first_word", "words")
 
 
 def shard_counts(documents: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def mix_report(documents: DataFrame) -> DataFrame:
     uses = slots(goals).groupBy("source", "block").agg(F.count("*").alias("uses"))
     parts = pieces(placed(sizes))
     same = parts.source.eqNullSafe(uses.source) & (parts.block == uses.block)
-    taken = parts.join(uses, same, "left").groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
+    taken = parts.join(uses.hint("merge"), same, "left")  # listed draws look small to the planner.groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
     rows = taken.select("source", "doc_id", "size", "taken").unionByName(sizes.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     # a row for each source, so small beside the rows; the join may still split a hot source
     return rows.join(goals, rows.source.eqNullSafe(goals.source)).select("doc_id", "size", "source_size", "target", "taken")

@@ -31,9 +31,9 @@ LEAF = 512
 #: Children per set at a node that branches again, and how often nodes do.
 WAYS = 2
 DEPTH = 6
-#: A large node is dense if its sets are so similar on average, as SAMPLED coordinates show.
+#: A large node is dense if its sets are so similar on average to SAMPLED of them.
 DENSE = 0.6
-SAMPLED = 16
+SAMPLED = 3
 #: Sets that each block of a dense node is compared with.
 PIVOTS = 8
 #: Tokens by which the sketches of linked sets agree at least: 0.85 less five standard deviations of 64 tokens.
@@ -172,12 +172,10 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, roles = batch.column("rep").to_numpy(), batch.column("role").to_numpy()
         order = np.lexsort((reps, -roles))
         reps, roles = reps[order], roles[order]
-        shown = dict.fromkeys(reps.tolist())
-        if len(shown) < len(reps):  # a pivot is a set of its own block too
-            first = np.unique(reps, return_index=True)[1]
-            first.sort()
-            order, reps, roles = order[first], reps[first], roles[first]
         sets = [np.frombuffer(batch.column("set")[int(i)].as_buffer(), np.uint64) for i in order]
+        if (roles == 1).any():  # a pivot is a set of its own block too
+            first = sorted({(x, s.tobytes()): i for i, (x, s) in reversed(list(enumerate(zip(reps.tolist(), sets, strict=True))))}.values())
+            reps, roles, sets = reps[first], roles[first], [sets[i] for i in first]
         sizes = np.array([len(s) for s in sets])
         tree = Components(len(sets))
         for i in range(len(sets)):
@@ -200,31 +198,20 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("path")[0].as_py()] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["path", "a", "b"])
 
 
-def with_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """path, block, role, rep and set of each wanted (path, block, role, rep): the text goes over the network once, sets are made from it."""
-    places = wanted.groupBy("rep").agg(F.collect_list(F.struct("path", "block", "role")).alias("places"))
-    texts = documents.join(places, documents.doc_id == places.rep).select("rep", "places", "text")
+def sets_for(documents: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and set of the documents named: texts go over the network once, and what is kept is a set for each name."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in sets_of(batch):
-                places = part.column("places")
-                counts = np.diff(places.offsets.to_numpy())
-                row = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                flat = places.flatten()
-                at = 0  # few rows a batch: a set may go to many places
-                blobs = pa.array([s.tobytes() for s in sets], pa.binary())
-                while at < len(row):
-                    some = row.slice(at, 2048)
-                    own = flat.slice(at, 2048)
-                    yield pa.RecordBatch.from_arrays([own.field("path"), own.field("block"), own.field("role"), part.column("rep").take(some), blobs.take(some)], ["path", "block", "role", "rep", "set"])
-                    at += 2048
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
 
-    return texts.mapInArrow(make, "path long, block int, role int, rep long, set binary")
+    named = documents.join(reps.select("rep").distinct(), documents.doc_id == F.col("rep")).select("rep", "text")
+    return pinned(named.mapInArrow(make, "rep long, set binary"))
 
 
-def confirmed(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    return with_sets(documents, wanted).repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(confirm, EDGES)
+def confirmed(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    return wanted.join(sets, "rep").select("path", "block", "role", "rep", "set").repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(confirm, EDGES)
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -238,10 +225,11 @@ def child(path: Column, way: Column, level: int) -> Column:
 
 
 def density(members: DataFrame) -> DataFrame:
-    """path and the share of pairs of its sets that agree in a token: the mean similarity, from SAMPLED coordinates."""
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(SAMPLED - 1)), lambda i: F.struct(i.alias("i"), F.get("mins", F.pmod(F.xxhash64("path", i), F.lit(TOKENS)).cast("int")).alias("token")))
-    counts = members.select("path", "size", F.explode(tokens).alias("x")).groupBy("path", "size", "x").agg(F.count("*").cast("double").alias("n"))
-    return counts.groupBy("path").agg((F.sum(F.col("n") * F.col("n")) / F.max(F.col("size").cast("double") * F.col("size")) / SAMPLED).alias("mean"))
+    """path and the mean similarity of its sets to SAMPLED of them, by their tokens."""
+    picked = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), F.col("mins"))).alias(f"p{i}") for i in range(SAMPLED)]
+    few = members.groupBy("path").agg(*picked)
+    alike = [F.aggregate(F.zip_with("mins", f"p{i}.mins", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x) for i in range(SAMPLED)]
+    return members.select("path", "mins").join(few, "path").groupBy("path").agg(F.avg(sum(alike) / (SAMPLED * TOKENS)).alias("mean"))
 
 
 def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -285,7 +273,9 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
                 .select("path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
             )
             wanted = wanted.unionByName(blocks.select("path", "block", F.lit(0).alias("role"), "rep")).unionByName(pivots.select("path", "block", F.lit(1).alias("role"), "rep"))
-    found = pinned(confirmed(documents, wanted))
+    wanted = pinned(wanted)
+    sets = sets_for(documents, wanted)  # of every set that is compared at all, so later comparisons find theirs
+    found = pinned(confirmed(sets, wanted))
     out = found.where("a != b").select("a", "b")
     if blocks is not None:
         apart = found.where("a = b").select("path", F.col("a").alias("rep")).distinct()
@@ -298,7 +288,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
             hosts = blocks.join(counted.select("path", "lots").distinct(), "path")
             hosts = hosts.join(counted.select("path", "rep", F.lit(True).alias("guest")), ["path", "rep"], "left")
             own = hosts.select("path", F.explode(F.sequence(F.col("block") * F.col("lots"), F.col("block") * F.col("lots") + F.col("lots") - 1)).alias("block"), F.lit(0).alias("role"), "rep")
-            out = out.unionByName(pinned(confirmed(documents, guests.unionByName(own))).where("a != b").select("a", "b"))
+            out = out.unionByName(pinned(confirmed(sets, guests.unionByName(own))).where("a != b").select("a", "b"))
     return out
 
 
@@ -321,9 +311,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document row.
 
-    Null text and text without words: an empty set, linked with nothing. Rows of one doc_id count as one document where
-    their texts agree; where they differ, each row follows its own text. A row without doc_id is linked with nothing and
-    kept. Extra columns are ignored. Documents of equal sets share their component. Ties: the smallest doc_id stays.
+    Null text and text without words: an empty set, linked with nothing. Rows of one doc_id are one document, which is linked
+    by any of their texts; n_shingles is each row's own. A row without doc_id is linked with nothing and kept. Extra columns are ignored. Documents of equal sets share their component. Ties: the smallest doc_id stays.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = pinned(source.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, mins array<int>"))
