@@ -122,7 +122,8 @@ def mix_report(documents: DataFrame) -> DataFrame:
     uses = slots(goals).groupBy("source", "block").agg(F.count("*").alias("uses"))
     parts = pieces(placed(sizes))
     same = parts.source.eqNullSafe(uses.source) & (parts.block == uses.block)
-    taken = parts.join(uses.hint("merge"), same, "left")  # listed draws look small to the planner.groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
+    # the planner takes listed draws for as small as the table of sources, so the join is named
+    taken = parts.join(uses.hint("merge"), same, "left").groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
     rows = taken.select("source", "doc_id", "size", "taken").unionByName(sizes.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     # a row for each source, so small beside the rows; the join may still split a hot source
     return rows.join(goals, rows.source.eqNullSafe(goals.source)).select("doc_id", "size", "source_size", "target", "taken")
