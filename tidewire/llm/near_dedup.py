@@ -31,9 +31,9 @@ LEAF = 512
 #: Children per set at a node that branches again, and how often nodes do.
 WAYS = 2
 DEPTH = 6
-#: A large node is dense if its sets are so similar on average to SAMPLED of them.
+#: A large node is dense if SAMPLED of its sets are so similar to one another on average.
 DENSE = 0.6
-SAMPLED = 3
+SAMPLED = 8
 #: Sets that each block of a dense node is compared with.
 PIVOTS = 8
 #: Tokens by which the sketches of linked sets agree at least: 0.85 less five standard deviations of 64 tokens.
@@ -225,11 +225,11 @@ def child(path: Column, way: Column, level: int) -> Column:
 
 
 def density(members: DataFrame) -> DataFrame:
-    """path and the mean similarity of its sets to SAMPLED of them, by their tokens."""
+    """path and the mean similarity, by their tokens, of SAMPLED of its sets to one another: an aggregate, so no set meets another here."""
     picked = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), F.col("mins"))).alias(f"p{i}") for i in range(SAMPLED)]
-    few = members.groupBy("path").agg(*picked)
-    alike = [F.aggregate(F.zip_with("mins", f"p{i}.mins", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x) for i in range(SAMPLED)]
-    return members.select("path", "mins").join(few, "path").groupBy("path").agg(F.avg(sum(alike) / (SAMPLED * TOKENS)).alias("mean"))
+    pairs = [(i, j) for i in range(SAMPLED) for j in range(i)]
+    alike = [F.aggregate(F.zip_with(f"p{i}.mins", f"p{j}.mins", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x) for i, j in pairs]
+    return members.groupBy("path").agg(*picked).select("path", (sum(alike) / (len(pairs) * TOKENS)).alias("mean"))
 
 
 def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
