@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 import pytest
 from conftest_llm import documents, prose
 from tidewire.llm import near_dedup
@@ -61,3 +62,22 @@ def test_odd_rows(spark):
 def test_empty(spark):
     none = documents(spark, ["a"]).limit(0)
     assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_threshold_is_the_callers(spark, rng):
+    """One word of 52 apart makes a Jaccard of 43/53 = 0.811."""
+    words = ["w%d" % i for i in range(52)]
+    texts = [" ".join(words), " ".join([*words[:20], "edit", *words[21:]])]
+    docs = documents(spark, texts)
+    components = lambda **link: sorted(r.component_id for r in near_dedup.near_duplicates(docs, **link).collect())
+    assert components() == components(link=(85, 100)) == [0, 1]
+    assert components(link=(80, 100)) == [0, 0]
+    assert components(link=(82, 100)) == [0, 1]
+    assert near_dedup.deduplicated(docs, link=(80, 100)).count() == 1
+    assert [near_dedup.sketch_agree(x) for x in ((85, 100), (80, 100))] == [40, 35]
+
+
+def test_pipeline_stage_links_at_four_fifths(spark):
+    words = ["w%d" % i for i in range(52)]
+    docs = documents(spark, [" ".join(words), " ".join([*words[:20], "edit", *words[21:]]), " ".join(words[::-1])])
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2]

@@ -13,6 +13,7 @@ small stars over written edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,7 @@ DENSE = 0.6
 SAMPLED = 8
 #: Sets that each block of a dense node is compared with.
 PIVOTS = 8
-#: Tokens by which the sketches of linked sets agree at least: 0.85 less five standard deviations of 64 tokens.
-SKETCH_AGREE = 40
-#: Link where LINK[1] * intersection >= LINK[0] * union.
+#: Link where link[1] * intersection >= link[0] * union, unless a caller asks for another threshold.
 LINK = (85, 100)
 
 MULTIPLIERS = stream(7, SHINGLE) | np.uint64(1)
@@ -112,7 +111,13 @@ def together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_agree(link: tuple[int, int]) -> int:
+    """Tokens by which the sketches of linked sets agree at least: the threshold less five standard deviations of TOKENS tokens."""
+    share = link[0] / link[1]
+    return max(0, int(TOKENS * share - 5 * (TOKENS * share * (1 - share)) ** 0.5))
+
+
+def alike(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     """path, tree, rep, mins and leaves sorted by path to the path and rep of sets whose sketch agrees with another's in the node.
 
     leaves: bits of the trees whose root node of this set is a leaf. Two sets that also meet in an earlier such leaf are
@@ -127,7 +132,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = (batch.column("leaves").to_numpy()[:, None] & bits > 0) & (np.arange(TREES) < batch.column("tree")[0].as_py())
         keep = np.zeros(len(mins), bool)
         for i in range(len(mins) - 1):
-            same = np.flatnonzero((mins[i + 1 :] == mins[i]).sum(axis=1) >= SKETCH_AGREE) + i + 1
+            same = np.flatnonzero((mins[i + 1 :] == mins[i]).sum(axis=1) >= agree) + i + 1
             same = same[~((roots[same] == roots[i]) & earlier[i]).any(axis=1)]
             keep[same] = True
             keep[i] |= len(same) > 0
@@ -135,14 +140,14 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("path", "rep")], ["path", "rep"])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, link: tuple[int, int]) -> bool:
     small, large = sorted((len(a), len(b)))
-    if LINK[1] * small < LINK[0] * large:
+    if link[1] * small < link[0] * large:
         return False
     both = np.concatenate([a, b])
     both.sort()
     same = int((both[1:] == both[:-1]).sum())
-    return LINK[1] * same >= LINK[0] * (small + large - same)
+    return link[1] * same >= link[0] * (small + large - same)
 
 
 class Components:
@@ -162,7 +167,7 @@ class Components:
 EDGES = "path long, a long, b long"
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """path, block, role, rep and set sorted by path and block to edges of a forest over the links of each block.
 
     role 0: a set of the block, 1: a pivot, 2: a set that comes from elsewhere and is compared with sets of the block
@@ -179,11 +184,11 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in sets])
         tree = Components(len(sets))
         for i in range(len(sets)):
-            fits = np.flatnonzero((LINK[1] * sizes[:i] >= LINK[0] * sizes[i]) & (LINK[1] * sizes[i] >= LINK[0] * sizes[:i]))
+            fits = np.flatnonzero((link[1] * sizes[:i] >= link[0] * sizes[i]) & (link[1] * sizes[i] >= link[0] * sizes[:i]))
             for j in fits.tolist():
                 if roles[i] == 2 and roles[j] == 2:
                     continue
-                if tree.find(i) != tree.find(j) and linked(sets[i], sets[j]):
+                if tree.find(i) != tree.find(j) and linked(sets[i], sets[j], link):
                     tree.join(i, j)
         roots = np.array([tree.find(i) for i in range(len(sets))])
         low: dict[int, int] = {}
@@ -210,8 +215,8 @@ def sets_for(documents: DataFrame, reps: DataFrame) -> DataFrame:
     return pinned(named.mapInArrow(make, "rep long, set binary"))
 
 
-def confirmed(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    return wanted.join(sets, "rep").select("path", "block", "role", "rep", "set").repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(confirm, EDGES)
+def confirmed(sets: DataFrame, wanted: DataFrame, link: tuple[int, int]) -> DataFrame:
+    return wanted.join(sets, "rep").select("path", "block", "role", "rep", "set").repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(partial(confirm, link=link), EDGES)
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -232,7 +237,7 @@ def density(members: DataFrame) -> DataFrame:
     return members.groupBy("path").agg(*picked).select("path", (sum(alike) / (len(pairs) * TOKENS)).alias("mean"))
 
 
-def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
+def edges_of(documents: DataFrame, sketches: DataFrame, link: tuple[int, int]) -> DataFrame:
     """Edges (a > b) whose components are those of the links. ``sketches``: rep and mins of distinct sets."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mins", t * (TOKENS // TREES))).alias("path")))
     crowd = pinned(sized(sketches.select("rep", F.explode(roots).alias("n")).select("rep", "n.tree", "n.path")))
@@ -257,7 +262,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
     for x in leaves[1:]:
         small = small.unionByName(x)
     told = sketches.join(in_leaf, "rep", "left").select("rep", "mins", F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    pairs = small.join(told, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(alike, "path long, rep long")
+    pairs = small.join(told, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(partial(alike, agree=sketch_agree(link)), "path long, rep long")
     wanted = pairs.select("path", F.lit(0).alias("block"), F.lit(0).alias("role"), "rep")
     blocks = None
     if dense:
@@ -275,7 +280,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
             wanted = wanted.unionByName(blocks.select("path", "block", F.lit(0).alias("role"), "rep")).unionByName(pivots.select("path", "block", F.lit(1).alias("role"), "rep"))
     wanted = pinned(wanted)
     sets = sets_for(documents, wanted)  # of every set that is compared at all, so later comparisons find theirs
-    found = pinned(confirmed(sets, wanted))
+    found = pinned(confirmed(sets, wanted, link))
     out = found.where("a != b").select("a", "b")
     if blocks is not None:
         apart = found.where("a = b").select("path", F.col("a").alias("rep")).distinct()
@@ -288,7 +293,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame) -> DataFrame:
             hosts = blocks.join(counted.select("path", "lots").distinct(), "path")
             hosts = hosts.join(counted.select("path", "rep", F.lit(True).alias("guest")), ["path", "rep"], "left")
             own = hosts.select("path", F.explode(F.sequence(F.col("block") * F.col("lots"), F.col("block") * F.col("lots") + F.col("lots") - 1)).alias("block"), F.lit(0).alias("role"), "rep")
-            out = out.unionByName(pinned(confirmed(sets, guests.unionByName(own))).where("a != b").select("a", "b"))
+            out = out.unionByName(pinned(confirmed(sets, guests.unionByName(own), link)).where("a != b").select("a", "b"))
     return out
 
 
@@ -308,8 +313,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document row.
+def near_duplicates(documents: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document row; sets of Jaccard link[0] / link[1] or more are linked.
 
     Null text and text without words: an empty set, linked with nothing. Rows of one doc_id are one document, which is linked
     by any of their texts; n_shingles is each row's own. A row without doc_id is linked with nothing and kept. Extra columns are ignored. Documents of equal sets share their component. Ties: the smallest doc_id stays.
@@ -320,18 +325,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = whole.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     # one row for each set: copies do not meet here
     sketches = pinned(whole.join(sets.select("rep", F.col("set_a").alias("a"), F.col("set_b").alias("b")), (F.col("doc_id") == F.col("rep")) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("rep", "mins", "set_a", "set_b").dropDuplicates(["set_a", "set_b"]))
-    found = components(edges_of(source.where("doc_id is not null"), sketches.select("rep", "mins")))
+    found = components(edges_of(source.where("doc_id is not null"), sketches.select("rep", "mins"), link))
     named = sketches.select("set_a", "set_b", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     filled = whole.join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """One document of each component with all its columns; documents without words and without doc_id stay.
 
     Of rows that share doc_id, one of a kept document stays.
     """
-    gone = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(documents, link).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     rest = documents.join(gone, documents.doc_id == gone["__gone"], "left_anti")
     return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
