@@ -1,3 +1,4 @@
+import corpus_pipeline
 from conftest_llm import documents, prose
 from tidewire.llm import line_dedup
 
@@ -41,3 +42,25 @@ def test_odd_rows(spark):
     docs = documents(spark, ["a\nb\nc", "a\nb\nc", "a\nb\nc"], [3, 3, None])
     assert sorted((str(r.doc_id), r.text) for r in line_dedup.deduplicated(docs).collect()) == [("3", "a\nb\nc"), ("3", "a\nb\nc"), ("None", "")]
     assert line_dedup.line_report(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_one_or_two_lines(spark, rng):
+    line = lambda n, at: " ".join("w%d" % (at + i) for i in range(n))
+    one, a, b, short, han = line(51, 0), line(30, 100), line(21, 200), line(50, 300), "".join(chr(0x4E00 + i) for i in range(51))
+    texts = [one, f"x\n{one}\ny", one, f"{a}\n \n{b}", f"u\n{a}\n{b}\nv", a, b, short, short, f"{one}\n{one}", han, han, f"{b}\n{a}", None, ""]
+    want = [one, "x\ny", "", f"{a}\n \n{b}", "u\nv", a, b, short, short, "", han, "", f"{b}\n{a}", None, ""]
+    docs = documents(spark, texts)
+    kept = line_dedup.deduplicated(docs, long_words=50)
+    assert kept.columns == docs.columns
+    assert [r.text for r in kept.orderBy("doc_id").collect()] == want
+    assert [r.text for r in line_dedup.deduplicated(docs).orderBy("doc_id").collect()] == texts
+    stage = corpus_pipeline.lines(spark, docs, "").orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars) for r in stage] == [(t, len(t or "")) for t, old in zip(want, texts) if t or not old]
+
+
+def test_runs_of_three_with_long_words(spark, rng):
+    """Where no line is long, long_words changes nothing."""
+    texts = ["\n".join(rng.choice(["a", "b", "c", "", " "]) for _ in range(rng.randrange(30))) for _ in range(30)]
+    docs = documents(spark, texts)
+    texts_of = lambda df: [r.text for r in df.orderBy("doc_id").collect()]
+    assert texts_of(line_dedup.deduplicated(docs, long_words=70)) == texts_of(line_dedup.deduplicated(docs))

@@ -5,6 +5,9 @@ pair of smaller hash is the window's fingerprint (the right one of equals), so e
 fingerprint with its copy. A fingerprint's positions are joined together with the line that extends its match to the left
 or to the right; what matches the first position, earlier in the corpus, is a later copy and goes. Overlapping matches of
 one document chain to its maximal repeated runs.
+
+Runs of one or two lines are no window. A caller that gives ``long_words`` has those of more words looked up whole: each line
+and each pair of consecutive non-blank lines of over ``long_words`` words is a unit of its own, compared by two hashes.
 """
 
 from __future__ import annotations
@@ -15,40 +18,58 @@ from pyspark.sql import functions as F
 #: Non-blank lines in the shortest run that is deleted: WINDOW pairs of lines.
 WINDOW = 2
 RUN = WINDOW + 1
+#: A word: a run of characters that are not blank, or one character of a script that is written without blanks.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def words_in(line: Column) -> Column:
+    return F.when(F.octet_length(line) == F.length(line), F.regexp_count(line, F.lit(r"\S+"))).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """Rows with a key by which the corpus is ordered: doc_id (nulls last), then the text's hash. Equal rows have one key."""
     return documents.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
 
 
-def matches(rows: DataFrame) -> DataFrame:
-    """__key, at: the first line number of each three-line match with an earlier place, as [three line numbers]."""
-    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("hash"), (F.trim(x) == "").alias("blank"))), lambda x: ~x["blank"])
-    told = rows.where("text is not null").select("__key", numbered.alias("lines")).where(F.size("lines") >= RUN)
+def matches(rows: DataFrame, long_words: int | None = None) -> DataFrame:
+    """__key, own: the line numbers of each match with an earlier place, of three lines, or of one or two of over ``long_words`` words."""
+    counted = {} if long_words is None else {"words": words_in, "salted": lambda x: F.xxhash64(F.lit("long"), x)}
+    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("hash"), (F.trim(x) == "").alias("blank"), *(f(x).alias(n) for n, f in counted.items()))), lambda x: ~x["blank"])
+    told = rows.where("text is not null").select("__key", numbered.alias("lines"))
+    if long_words is None:
+        told = told.where(F.size("lines") >= RUN)
     pair = lambda a, b: F.xxhash64(a["hash"], b["hash"])
-    pairs = told.select("__key", "lines", F.transform(F.slice("lines", 1, F.size("lines") - 1), lambda x, i: pair(x, F.get("lines", i + 1))).alias("pairs"))
+    pairs = told.select("__key", "lines", F.transform(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x, i: pair(x, F.get("lines", i + 1))).alias("pairs"))
 
     def window(x: Column, i: Column) -> Column:
         left = x < F.get("pairs", i + 1)
         print_ = F.when(left, x).otherwise(F.get("pairs", i + 1))
         beyond = F.when(left, F.get("lines", i + 2)["hash"]).otherwise(F.get("lines", i)["hash"])
-        return F.struct(print_.alias("fingerprint"), left.alias("extends_right"), beyond.alias("beyond"), i.alias("at"), F.array(*(F.get("lines", i + k)["line"] for k in range(RUN))).alias("own"))
-
-    windows = pairs.select("__key", F.explode(F.transform(F.slice("pairs", 1, F.size("pairs") - 1), window)).alias("w")).select("__key", "w.*")
-    same = ["fingerprint", "extends_right", "beyond"]
+        return F.struct(print_.alias("fingerprint"), left.cast("int").alias("way"), beyond.alias("beyond"), i.alias("at"), F.array(*(F.get("lines", i + k)["line"] for k in range(RUN))).alias("own"))
+
+    units = F.transform(F.slice("pairs", 1, F.greatest(F.size("pairs") - 1, F.lit(0))), window)
+    if long_words is not None:
+        # way: 0 and 1 are windows that extend to the left and right, 2 one line, 3 two, so like meets like only
+        single = lambda x, i: F.struct(x["hash"].alias("fingerprint"), F.lit(2).alias("way"), x["salted"].alias("beyond"), i.alias("at"), F.array(x["line"]).alias("own"))
+        both = lambda x, i: F.struct(pair(x, F.get("lines", i + 1)).alias("fingerprint"), F.lit(3).alias("way"), F.xxhash64(x["salted"], F.get("lines", i + 1)["salted"]).alias("beyond"), i.alias("at"), F.array(x["line"], F.get("lines", i + 1)["line"]).alias("own"))
+        whole = F.filter(F.transform("lines", lambda x, i: F.when(x["words"] > long_words, single(x, i))), lambda x: x.isNotNull())
+        twos = F.filter(F.transform("lines", lambda x, i: F.when(x["words"] + F.get("lines", i + 1)["words"] > long_words, both(x, i))), lambda x: x.isNotNull())
+        units = F.concat(units, whole, twos)
+    windows = pairs.select("__key", F.explode(units).alias("w")).select("__key", "w.*")
+    same = ["fingerprint", "way", "beyond"]
     first = windows.groupBy(*same).agg(F.min(F.struct("__key", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     return windows.join(first, same).where(F.struct("__key", "at") > F.col("first")).select("__key", "own")
 
 
-def edited(documents: DataFrame) -> DataFrame:
+def edited(documents: DataFrame, long_words: int | None = None) -> DataFrame:
     """All rows and columns, text without later copies of runs, and ``__lines``, ``__removed``, the counts of lines."""
     rows = keyed(documents)
-    gone = matches(rows).groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("__gone"))
+    gone = matches(rows, long_words).groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("__gone"))
     # only these texts go over the network with their line numbers; the join keeps a repeated row as often as it comes
     joined = rows.join(gone.withColumnRenamed("__key", "__other"), rows["__key"] == F.col("__other"), "left").drop("__other")
     # one sort puts each line number that goes before its line: linear, however many lines there are
@@ -64,14 +85,15 @@ def edited(documents: DataFrame) -> DataFrame:
     ).drop("__key", "__gone", "__tagged")
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, long_words: int | None = None) -> DataFrame:
     """The documents with later copies of runs of three or more non-blank lines deleted; all rows and columns stay.
 
+    With ``long_words``, later copies of one or two consecutive non-blank lines of over so many words go too.
     The first copy, by doc_id (nulls last) and line, stays; copies within one document count. Blank lines neither make a
     run nor break it and stay. Null and empty texts stay as they are. Equal rows (same doc_id and text) are edited alike and
     are not copies of each other.
     """
-    return edited(documents).select(*documents.columns)
+    return edited(documents, long_words).select(*documents.columns)
 
 
 def line_report(documents: DataFrame) -> DataFrame:
