@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task, whatever the size of an Arrow batch.
 CHUNK_BYTES = 1 << 20
@@ -21,20 +22,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/tidewire-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tidewire/{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors lose nothing.
+
+    ``cleared`` deletes what an application pinned.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete the tables that this application pinned, once no result that comes from them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Parts into which the rows of one key are dealt before anything gathers them.
+SALTS = 32
+
+
+def with_totals(rows: DataFrame, keys: list[str], by: Column, totals: dict[str, tuple[str, Column]], keep: Column | None = None) -> DataFrame:
+    """All rows of the keys that ``keep`` (of the totals) leaves, with totals of their key: name to ("sum", "min" or "max", column).
+
+    No task gathers the rows of a key: they are dealt by ``by`` to SALTS parts, totals are taken of parts and then of keys,
+    and come back only to the parts that a key has. Null keys are not matched.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "__salt").agg(*(getattr(F, how)(c).alias(name) for name, (how, c) in totals.items()))
+    whole = parts.groupBy(*keys).agg(*(getattr(F, how)(name).alias(name) for name, (how, _) in totals.items()), F.collect_list("__salt").alias("__salts"))
+    if keep is not None:
+        whole = whole.where(keep)
+    return dealt.join(whole.withColumn("__salt", F.explode("__salts")).drop("__salts"), [*keys, "__salt"]).drop("__salt")
+
+
+def salted_join(rows: DataFrame, one_each: DataFrame, keys: list[str], by: Column, salts: int = SALTS) -> DataFrame:
+    """An inner join of rows with a table of one row a key, which is repeated for each of ``salts`` parts: for keys of many rows."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(one_each.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]).drop("__salt")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
