@@ -1,6 +1,7 @@
 import re
 
 from conftest_llm import documents, prose
+from pyspark.sql import functions as F
 from tidewire.llm import substring_dedup
 
 
@@ -18,16 +19,17 @@ def expected(ids, texts):
     for i in sorted(range(len(ids)), key=lambda i: ids[i]):
         lead, parts = cut(texts[i] or "")
         words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), p)) for p in parts]
-        gone = set()
+        gone, runs = set(), set()
         for a in range(len(parts)):
-            run, b = [], a
-            while b < len(parts) and len(run) < 20:
-                run += words[b]
-                b += 1
-            if len(run) >= 20:
-                if tuple(run) in seen:
-                    gone |= set(range(a, b))
-                seen.add(tuple(run))
+            b = next((b for b in range(a + 1, len(parts) + 1) if sum(map(len, words[a:b])) >= 20), None)
+            runs |= {(a, b)} if b else set()
+            c = next((c for c in range(a, -1, -1) if sum(map(len, words[c : a + 1])) >= 20), None)
+            runs |= {(c, a + 1)} if c is not None else set()
+        for a, b in sorted(runs):
+            run = tuple(w for s in words[a:b] for w in s)
+            if run in seen:
+                gone |= set(range(a, b))
+            seen.add(run)
         out[ids[i]] = (len(parts), len(gone), lead + "".join(p for k, p in enumerate(parts) if k not in gone))
     return out
 
@@ -47,6 +49,22 @@ def test_equals_brute_force(spark, rng):
     assert substring_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_whole_of_a_passage_goes(spark):
+    lengths = (25, 12, 7)
+    passage = " ".join(" ".join(f"p{k}x{i}" for i in range(n)) + "." for k, n in enumerate(lengths))
+    rows = substring_dedup.span_report(documents(spark, ["One here. " + passage + " After it.", "Other start. " + passage + " End now."])).collect()
+    assert {r.doc_id: r.text for r in rows}[1] == "Other start. End now."
+
+
+def test_clashing_names(spark):
+    names = ["id", "text_hash", "runs", "span", "first", "size", "later", "kept"]
+    text = " ".join(f"w{i}." for i in range(40))
+    docs = documents(spark, [text, text]).withColumns({n: F.lit(7) for n in names})
+    rows = substring_dedup.deduplicated(docs)
+    assert rows.columns == docs.columns
+    assert sorted(len(r.text) for r in rows.collect()) == [0, len(text)] and all(r[n] == 7 for r in rows.collect() for n in names)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}." for i in range(40))
     rows = substring_dedup.span_report(documents(spark, [text, text, text], [1, 1, None])).collect()

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACED_WORDS, chunks, mixed, text_bytes, words_of
+from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, text_bytes, words_of
 
-#: A span is the shortest run of sentences from its first one on that has so many words.
+#: A span is the shortest run of sentences from its first one on, or up to its last one, that has so many words.
 SPAN_WORDS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -44,15 +44,22 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, first sentence, sentences and hash of each span; sentence numbers begin at 0 in each text."""
+    """row, first sentence, sentences and hash of each span; sentence numbers begin at 0 in each text.
+
+    Of a repeated passage of SPAN_WORDS words or more, spans from its first sentence on and up to its last one cover all.
+    """
     hashes, first, owned, _ = sentences(texts)
     n = len(first) - 1
     if n < 1:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     row = np.repeat(np.arange(len(owned) - 1), np.diff(owned))
     last = np.searchsorted(first, first[:-1] + SPAN_WORDS)  # the sentence before this one has the last word needed
-    fits = last <= owned[row + 1]
-    start, stop = np.flatnonzero(fits), last[fits]
+    onward = last <= owned[row + 1]
+    begin = np.searchsorted(first, first[1:] - SPAN_WORDS, side="right") - 1  # the last sentence from which words suffice
+    back = begin >= owned[row]
+    places = np.arange(n)
+    both = np.unique(np.concatenate([places[onward] * (n + 1) + last[onward], begin[back] * (n + 1) + places[back] + 1]))
+    start, stop = both // (n + 1), both % (n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, len(hashes)), dtype=np.uint64)])
     words = first[stop] - first[start]
     named = mixed((sums[first[stop]] - sums[first[start]]) * powers(UNBASE, len(hashes))[first[start]] + words.astype(np.uint64))
@@ -60,11 +67,23 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash and text to span, id, text_hash, first and size."""
+    """id, text_hash and text to span, id, text_hash, first, size and later.
+
+    Of a span that a chunk of texts has at several places, the first stands for all; the others are later copies whatever
+    other chunks hold, and leave with ``later`` set. So a span of every document has one row a chunk to be joined.
+    """
     for batch in batches:
         for part in chunks(batch, "text"):
             row, first, size, named = spans(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(named), part.column("id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array(first, pa.int32()), pa.array(size, pa.int32())], ["span", "id", "text_hash", "first", "size"])
+            ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "text_hash"))
+            order = np.lexsort((first, hashes, ids, named))
+            row, first, size, named, ids, hashes = (x[order] for x in (row, first, size, named, ids, hashes))
+            fresh = np.concatenate([[True], named[1:] != named[:-1]])[: len(named)]
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(named)), 0))
+            later = (ids != ids[head]) | (hashes != hashes[head]) | (first != first[head])
+            keep = fresh | later  # a repeated row is no copy of itself
+            columns = [(named, pa.int64()), (ids, pa.int64()), (hashes, pa.int32()), (first, pa.int32()), (size, pa.int32()), (later, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in columns], ["span", "id", "text_hash", "first", "size", "later"])
 
 
 def covered(runs: list[dict], n: int) -> np.ndarray:
@@ -82,7 +101,7 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, ends = text_bytes(part.column("text"))
             _, _, owned, at = sentences(part.column("text"))
             texts, counts, removed = [], np.diff(owned), np.zeros(part.num_rows, np.int64)
-            for i, runs in enumerate(part.column("runs").to_pylist()):
+            for i, runs in enumerate(part.column("__runs").to_pylist()):
                 if not runs:
                     texts.append(part.column("text")[i].as_py())
                     continue
@@ -90,32 +109,34 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed[i] = gone.sum()
                 cut = np.append(at[owned[i] : owned[i + 1]], ends[i + 1])
                 texts.append((data[ends[i] : cut[0]].tobytes() + b"".join(data[a:b].tobytes() for a, b, g in zip(cut[:-1], cut[1:], gone, strict=True) if not g)).decode())
-            rest = [part.column(c) for c in part.schema.names if c not in ("text", "runs")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [c for c in part.schema.names if c not in ("text", "runs")] + ["text", "__sentences", "__removed"])
+            rest = [part.column(c) for c in part.schema.names if c not in ("text", "__runs")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [c for c in part.schema.names if c not in ("text", "__runs")] + ["text", "__sentences", "__removed"])
 
 
 def edited(documents: DataFrame) -> DataFrame:
     """All rows and columns, text without repeated spans, and ``__sentences`` and ``__removed``, the counts of sentences."""
     keyed = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__hash": F.hash("text")})
-    found = keyed.where("text is not null").select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"), "text").mapInArrow(span_rows, "span long, id long, text_hash int, first int, size int")
+    rows = keyed.where("text is not null").select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"), "text")
+    found = pinned(rows.mapInArrow(span_rows, "span long, id long, text_hash int, first int, size int, later boolean"))
     place = F.struct("id", "text_hash", "first")
-    first = found.groupBy("span").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").select("span", "kept")
-    later = found.join(first, "span").where(place > F.col("kept"))
-    runs = later.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
-    joined = keyed.join(runs, (keyed["__id"] == runs.id) & (keyed["__hash"] == runs.text_hash), "left").drop("__id", "__hash", "id", "text_hash")
+    joined = found.where("not later")
+    first = joined.groupBy("span").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").select("span", "kept")
+    gone = joined.join(first, "span").where(place > F.col("kept")).select("id", "text_hash", "first", "size").unionByName(found.where("later").select("id", "text_hash", "first", "size"))
+    runs = gone.groupBy(F.col("id").alias("__rid"), F.col("text_hash").alias("__rhash")).agg(F.collect_set(F.struct("first", "size")).alias("__runs"))
+    told = keyed.join(runs, (keyed["__id"] == F.col("__rid")) & (keyed["__hash"] == F.col("__rhash")), "left")
     fields = [f for f in documents.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.select(*(f.name for f in fields), "text", "runs").mapInArrow(without, f"{schema}, text string, __sentences long, __removed long")
+    return told.select(*(f"`{f.name}`" for f in fields), "text", "__runs").mapInArrow(without, f"{schema}, text string, __sentences long, __removed long")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents without sentences that a later copy of a span covers; all rows and columns stay.
+    """The documents without sentences that a later copy of a span covers; all rows and columns stay, whatever their names.
 
     The first copy, by doc_id (nulls last) and sentence, stays; copies within one document count. Words compare without
     ASCII case, sentences by their words. Null texts, and texts of fewer than SPAN_WORDS words, stay as they are. Equal rows
-    (same doc_id and text) are edited alike and are not copies of each other.
+    (same doc_id and text) are edited alike and are not copies of each other. Very long texts are taken whole. An empty table stays empty.
     """
-    return edited(documents).select(*documents.columns)
+    return edited(documents).select(*(f"`{c}`" for c in documents.columns))
 
 
 def span_report(documents: DataFrame) -> DataFrame:
