@@ -48,6 +48,16 @@ def test_passes_agree(spark, rng):
     assert one == many
 
 
+def test_any_benchmark_size_keeps_each_row(spark, rng):
+    texts, items, _, bench = fixture(spark, rng)
+    texts = [*texts[5:9], *texts[5:7], "clean one", "clean two", "clean two"]
+    docs = documents(spark, texts, [1, 1, None, None, 1, 2, 1, None, None])
+    one, many = (sorted(map(str, decontaminate.contamination_report(docs, bench, block=b).collect())) for b in (10**6, 25))
+    assert one == many and len(one) == len(texts)
+    kept = [sorted(map(str, decontaminate.decontaminated(docs, bench, block=b).collect())) for b in (10**6, 25)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
 def test_filter_keeps_clean_rows(spark, rng):
     texts, items, docs, bench = fixture(spark, rng)
     kept = decontaminate.decontaminated(docs, bench)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import ALNUM_WORDS, chunks, word_hashes
+from tidewire.llm.common import ALNUM_WORDS, chunks, pinned, word_hashes
 
 #: Words in a window.
 WINDOW = 13
@@ -18,7 +18,7 @@ WINDOW = 13
 SHARD_SYMBOLS = 1 << 19
 #: One suffix position in so many is kept.
 SAMPLE_EVERY = 8
-#: Benchmark windows searched in one pass over the documents; more windows take more passes.
+#: Pairs of a benchmark window and an item searched in one pass over the documents; more pairs take more passes.
 BLOCK_WINDOWS = 200_000
 #: A document word's symbol if no benchmark item has the word.
 OTHER = 1
@@ -236,40 +236,61 @@ def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[tuple[
 HITS = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:long,stop:long>>"
 
 
+def passes(benchmark: DataFrame, width: int, block: int) -> tuple[DataFrame, int]:
+    """Pairs of a distinct window and an item, each with the ``part`` that searches it, and how many parts there are, one at least."""
+    pairs = benchmark_windows(benchmark, width).distinct()
+    n = -(-pairs.count() // block) or 1
+    return pairs.withColumn("part", F.pmod(F.xxhash64("words", "item_id"), F.lit(n)).cast("int")), n
+
+
+def phrases_of(pairs: DataFrame, part: int) -> Phrases:
+    """The windows of one part, about ``BLOCK_WINDOWS`` pairs, on the driver."""
+    windows: dict[tuple[int, ...], list[str]] = {}
+    for r in pairs.where(F.col("part") == part).toLocalIterator():
+        windows.setdefault(tuple(np.array(r.words, np.int64).view(np.uint64).tolist()), []).append(r.item_id)
+    return Phrases(windows)
+
+
+def hits_of(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """row_id and HITS of each row of row_id and text, for one part."""
+    key = docs.schema["row_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for rows, n_words, n_hit, items, spans in scan(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([rows.column("row_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], span)], ["row_id", "n_words", "n_hit", "item_ids", "hit_spans"])
+
+    return docs.mapInArrow(run, f"row_id {key}, {HITS}")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """Benchmark hits of each document: its row key columns ``row_id``, ``text`` replaced by HITS.
+    """Benchmark hits of each document row: its column ``row_id``, and HITS.
 
-    ``documents`` needs columns row_id (any type) and text. A null text, or one without words, has no words and no hits;
-    benchmark rows with null text or null item_id have no windows; equal items are both reported. With no benchmark
-    windows every document has no hits. Extra columns are ignored. Documents are indexed where they are read: no shuffle.
-    The windows travel to the tasks in blocks of at most ``block``; a larger benchmark takes more passes, whose hits are merged.
+    ``documents`` needs columns row_id (any type, null and repeated values too) and text. A null text, or one without words,
+    has no words and no hits; benchmark rows with null text or null item_id have no windows; equal items are both reported.
+    With no benchmark windows every document has no hits. Very long texts are indexed whole. Extra columns are ignored.
+    Documents are indexed where they are read: no shuffle. The windows travel to the tasks in parts of about ``block`` pairs
+    of window and item; more pairs take more passes over rows that are numbered once, whose hits are merged row by row.
     """
-    spark = documents.sparkSession
-    windows = benchmark_windows(benchmark, width).groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("part", F.lit(0))
-    n = windows.count()
-    passes = -(-n // block) or 1
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(passes)).cast("int"))
+    pairs, n = passes(benchmark, width, block)
     docs = documents.select("row_id", "text")
-    key = docs.schema["row_id"].dataType.simpleString()
-    out = None
-    for part in range(passes):
-        phrases = Phrases({tuple(np.array(r.words, np.int64).view(np.uint64).tolist()): r["items"] for r in windows.where(F.col("part") == part).toLocalIterator()})
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            for rows, n_words, n_hit, items, spans in scan(batches, shared.value):
-                yield pa.RecordBatch.from_arrays([rows.column("row_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], span)], ["row_id", "n_words", "n_hit", "item_ids", "hit_spans"])
+    if n == 1:
+        return hits_of(docs, phrases_of(pairs, 0))
+    numbered = pinned(docs.withColumn("__row", F.monotonically_increasing_id()))
+    merged = merged_passes(numbered.select(F.col("__row").alias("row_id"), "text"), pinned(pairs), n)
+    return numbered.select("row_id", "__row").join(merged.withColumnRenamed("row_id", "__row"), "__row").drop("__row")
 
-        found = docs.mapInArrow(run, f"row_id {key}, {HITS}")
-        out = found if out is None else out.unionByName(found)
-    if passes > 1:
-        out = merged_passes(out)
-    return out
 
+def merged_passes(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """row_id and HITS over all parts, of rows whose row_id is unique: items united, spans merged and counted again.
 
-def merged_passes(hits: DataFrame) -> DataFrame:
-    """One row for each document of several passes: items united, spans merged and counted again. row_id must be unique."""
+    Each part's hits are written before the next part's windows are gathered.
+    """
+    found = None
+    for part in range(n):
+        hits = pinned(hits_of(docs, phrases_of(pairs, part)))
+        found = hits if found is None else found.unionByName(hits)
     ordered = F.array_sort(F.flatten(F.collect_list("hit_spans")))
     joined = F.aggregate(
         "spans",
@@ -279,7 +300,7 @@ def merged_passes(hits: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"))))),
     )
     return (
-        hits.groupBy("row_id")
+        found.groupBy("row_id")
         .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), ordered.alias("spans"))
         .withColumn("hit_spans", F.coalesce(joined, F.array().cast("array<struct<start:long,stop:long>>")))
         .select("row_id", "n_words", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_hit"), "item_ids", "hit_spans")
@@ -291,9 +312,12 @@ def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word numbers, merged) of each document row."""
-    hits = contamination(documents.select(F.col("doc_id").alias("row_id"), "text"), benchmark)
+def contamination_report(documents: DataFrame, benchmark: DataFrame, *, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word numbers, merged) of each document row.
+
+    Each row is judged by its own text, so rows with a null or repeated doc_id, and equal rows, are all returned.
+    """
+    hits = contamination(documents.select(F.col("doc_id").alias("row_id"), "text"), benchmark, block=block)
     return hits.select(
         F.col("row_id").alias("doc_id"),
         "n_words",
@@ -305,21 +329,14 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
     )
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
-
-    Rows with a null or repeated doc_id are each judged by their own text: the text's own hits decide, in the same pass.
-    """
-    spark = documents.sparkSession
-    n_benchmark = benchmark_windows(benchmark).count()
-    if n_benchmark > BLOCK_WINDOWS:
-        bad = contamination(documents.select("text").where("text is not null").distinct().select(F.xxhash64("text").alias("row_id"), "text"), benchmark).where(is_contaminated()).select("row_id")
-        keyed = documents.withColumn("__row", F.xxhash64("text"))
-        return keyed.join(bad.withColumnRenamed("row_id", "__row"), "__row", "left_anti").drop("__row")
-    windows: dict[tuple[int, ...], list[str]] = {}
-    for r in benchmark_windows(benchmark).toLocalIterator():
-        windows.setdefault(tuple(np.array(r.words, np.int64).view(np.uint64).tolist()), []).append(r.item_id)
-    shared = spark.sparkContext.broadcast(Phrases(windows))
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Each row is judged by its own text."""
+    pairs, n = passes(benchmark, WINDOW, block)
+    if n > 1:
+        numbered = pinned(documents.withColumn("__row", F.monotonically_increasing_id()))
+        bad = merged_passes(numbered.select(F.col("__row").alias("row_id"), "text"), pinned(pairs), n).where(is_contaminated()).select(F.col("row_id").alias("__row"))
+        return numbered.join(bad, "__row", "left_anti").select(*(f"`{c}`" for c in documents.columns))
+    shared = documents.sparkSession.sparkContext.broadcast(phrases_of(pairs, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, n_words, n_hit, _, _ in scan(batches, shared.value):
