@@ -59,6 +59,22 @@ def test_odd_rows(spark):
     assert kept.columns == documents(spark, ["a"]).columns
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    docs = documents(spark, [a, a, b, b, None, "lone"], [1, 5, 5, 7, 7, 9])
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (7, 1, False), (9, 9, True)]
+
+
+def test_only_copies_go(spark):
+    """Rows that share a doc_id but not their text stay; reruns agree."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    docs = documents(spark, [a, a, b, b, "lone", "lone", None, " "], [1, 5, 5, 7, 9, 9, 9, 9])
+    for n in (1, 3):
+        kept = near_dedup.deduplicated(docs.repartition(n)).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, a), (5, b), (9, ""), (9, " "), (9, "lone")]
+
+
 def test_empty(spark):
     none = documents(spark, ["a"]).limit(0)
     assert near_dedup.near_duplicates(none).count() == 0

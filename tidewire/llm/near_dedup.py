@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, stream, word_hashes
+from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, salted_join, stream, with_totals, word_hashes
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -29,9 +29,10 @@ TOKENS = 64
 TREES = 8
 #: Sets in a node that are compared exhaustively, and in a block of a dense node.
 LEAF = 512
-#: Children per set at a node that branches again, and how often nodes do.
+#: Children per set at a node that branches again, and how often nodes do. With a mean similarity under DENSE a node of a
+#: million sets is down to LEAF long before; what is larger still is compared block by block, so nothing is cut off.
 WAYS = 2
-DEPTH = 6
+DEPTH = 24
 #: A large node is dense if SAMPLED of its sets are so similar to one another on average.
 DENSE = 0.6
 SAMPLED = 8
@@ -71,16 +72,22 @@ def sets_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Re
         yield part, [shingle_set(words[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+NAMES = stream(10, 2)
+
+
+def named(sets: list[np.ndarray]) -> list[list[int | None]]:
+    """128 bits that name each set, as two columns."""
+    return [[int(mixed(s + f).sum().view(np.int64)) if len(s) else None for s in sets] for f in NAMES]
+
+
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and text to doc_id, n_shingles, set_a, set_b (128 bits that name the set) and mins."""
-    factors = stream(10, 2)
+    """doc_id, text_key and text to doc_id, text_key, n_shingles, set_a, set_b (which name the set) and mins."""
     for batch in batches:
         for part, sets in sets_of(batch):
-            names = [[int(mixed(s + f).sum().view(np.int64)) if len(s) else None for s in sets] for f in factors]
             mins = [minwise(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[0], pa.int64()), pa.array(names[1], pa.int64()), pa.array(mins, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "mins"],
+                [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(n, pa.int64()) for n in named(sets)), pa.array(mins, pa.list_(pa.int32()))],
+                ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "mins"],
             )
 
 
@@ -204,15 +211,20 @@ def confirm(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterato
 
 
 def sets_for(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep and set of the documents named: texts go over the network once, and what is kept is a set for each name."""
+    """rep and set of the reps wanted. ``reps``: rep and the low (a doc_id), set_a and set_b by which its text is known.
+
+    Texts go over the network once, and what is kept is a set for each rep.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in sets_of(batch):
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+                own = [a == x and b == y for a, b, x, y in zip(*named(sets), part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True)]
+                keep = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], ["rep", "set"])
 
-    named = documents.join(reps.select("rep").distinct(), documents.doc_id == F.col("rep")).select("rep", "text")
-    return pinned(named.mapInArrow(make, "rep long, set binary"))
+    found = documents.join(reps, documents.doc_id == F.col("low")).select("rep", "set_a", "set_b", "text")
+    return pinned(found.mapInArrow(make, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set")))
 
 
 def confirmed(sets: DataFrame, wanted: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -221,7 +233,7 @@ def confirmed(sets: DataFrame, wanted: DataFrame, link: tuple[int, int]) -> Data
 
 def sized(members: DataFrame) -> DataFrame:
     """Members of nodes with two sets or more, and the node's size."""
-    return members.join(members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
+    return with_totals(members, ["path"], F.col("rep"), {"size": ("sum", F.lit(1))}, F.col("size") > 1)
 
 
 def child(path: Column, way: Column, level: int) -> Column:
@@ -237,8 +249,9 @@ def density(members: DataFrame) -> DataFrame:
     return members.groupBy("path").agg(*picked).select("path", (sum(alike) / (len(pairs) * TOKENS)).alias("mean"))
 
 
-def edges_of(documents: DataFrame, sketches: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """Edges (a > b) whose components are those of the links. ``sketches``: rep and mins of distinct sets."""
+def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Edges (a > b) whose components are those of the links. ``known``: rep, mins, low, set_a and set_b of distinct sets."""
+    sketches = known.select("rep", "mins")
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mins", t * (TOKENS // TREES))).alias("path")))
     crowd = pinned(sized(sketches.select("rep", F.explode(roots).alias("n")).select("rep", "n.tree", "n.path")))
     leaves = [crowd.where(F.col("size") <= LEAF).select("path", "tree", "rep")]
@@ -252,7 +265,7 @@ def edges_of(documents: DataFrame, sketches: DataFrame, link: tuple[int, int]) -
             dense.append(large)
             break
         with_tokens = pinned(large.join(sketches, "rep"))
-        judged = with_tokens.join(density(with_tokens), "path")
+        judged = salted_join(with_tokens, density(with_tokens), ["path"], F.col("rep"))
         dense.append(judged.where(F.col("mean") >= DENSE).select("path", "rep", "size"))
         ways = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: child(F.col("path"), w, level)))
         nodes = pinned(sized(judged.where(F.col("mean") < DENSE).select("rep", ways.alias("path"))))
@@ -279,19 +292,18 @@ def edges_of(documents: DataFrame, sketches: DataFrame, link: tuple[int, int]) -
             )
             wanted = wanted.unionByName(blocks.select("path", "block", F.lit(0).alias("role"), "rep")).unionByName(pivots.select("path", "block", F.lit(1).alias("role"), "rep"))
     wanted = pinned(wanted)
-    sets = sets_for(documents, wanted)  # of every set that is compared at all, so later comparisons find theirs
+    sets = sets_for(documents, known.select("rep", "low", "set_a", "set_b").join(wanted.select("rep").distinct(), "rep"))  # of every set that is compared at all, so later comparisons find theirs
     found = pinned(confirmed(sets, wanted, link))
     out = found.where("a != b").select("a", "b")
     if blocks is not None:
         apart = found.where("a = b").select("path", F.col("a").alias("rep")).distinct()
         if not apart.isEmpty():
             # each set apart against every block, in groups of at most about LEAF of them
-            counted = apart.join(apart.groupBy("path").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("lots")), "path")
+            many = pinned(apart.groupBy("path").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("lots")).join(blocks.groupBy("path").agg(F.max("n_blocks").alias("n_blocks")), "path"))
+            spread = pinned(salted_join(apart, many, ["path"], F.col("rep")))
             lot = F.pmod(F.xxhash64("rep", "path"), F.col("lots")).cast("int")
-            spread = counted.join(blocks.select("path", "n_blocks").distinct(), "path")
             guests = spread.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: b * F.col("lots") + lot)).alias("block"), F.lit(2).alias("role"), "rep")
-            hosts = blocks.join(counted.select("path", "lots").distinct(), "path")
-            hosts = hosts.join(counted.select("path", "rep", F.lit(True).alias("guest")), ["path", "rep"], "left")
+            hosts = salted_join(blocks, many.select("path", "lots"), ["path"], F.col("rep"))
             own = hosts.select("path", F.explode(F.sequence(F.col("block") * F.col("lots"), F.col("block") * F.col("lots") + F.col("lots") - 1)).alias("block"), F.lit(0).alias("role"), "rep")
             out = out.unionByName(pinned(confirmed(sets, guests.unionByName(own), link)).where("a != b").select("a", "b"))
     return out
@@ -303,40 +315,74 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        stars = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = stars.groupBy("a").agg(F.min("b").alias("low"))
-        edges = pinned(stars.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct())
+        near = with_totals(both, ["a"], F.col("b"), {"low": ("min", F.col("b"))}).withColumn("low", F.least("low", "a"))
+        stars = near.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        ends = with_totals(stars, ["a"], F.col("b"), {"low": ("min", F.col("b"))})
+        edges = pinned(ends.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
         state = now
 
 
+ROWS = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, mins array<int>"
+
+
+def grouped(source: DataFrame, link: tuple[int, int], *, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of doc_id, text_key, n_shingles, set_a and set_b of a source of doc_id, text_key and text, and the sets among them
+    (of rows with words and doc_id): set_a, set_b, low (their smallest doc_id) and component (a number).
+
+    Linked sets share a component; with ``by_id``, so do all sets of one doc_id.
+    """
+    rows = pinned(source.mapInArrow(sketch, ROWS))
+    whole = rows.where("n_shingles > 0 and doc_id is not null")
+    least = whole.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "mins")).alias("x"))
+    known = pinned(least.select("set_a", "set_b", F.col("x.doc_id").alias("low"), F.col("x.mins").alias("mins"), F.monotonically_increasing_id().alias("rep")))
+    edges = edges_of(source.where("doc_id is not null"), known, link)
+    if by_id:
+        several = whole.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).where("x != y").select(F.col("doc_id").alias("id"))
+        own = whole.join(several, F.col("doc_id") == F.col("id")).select("doc_id", "set_a", "set_b").distinct().join(known.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
+        tied = with_totals(own, ["doc_id"], F.col("rep"), {"low_rep": ("min", F.col("rep"))}).where("rep != low_rep")
+        edges = edges.unionByName(tied.select(F.col("rep").alias("a"), F.col("low_rep").alias("b")))
+    found = components(edges)
+    sets = known.drop("mins").join(found, known.rep == found.id, "left").select("set_a", "set_b", "low", F.coalesce("component", "rep").alias("component"))
+    return rows.drop("mins"), pinned(sets)
+
+
 def near_duplicates(documents: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document row; sets of Jaccard link[0] / link[1] or more are linked.
 
     Null text and text without words: an empty set, linked with nothing. Rows of one doc_id are one document, which is linked
-    by any of their texts; n_shingles is each row's own. A row without doc_id is linked with nothing and kept. Extra columns are ignored. Documents of equal sets share their component. Ties: the smallest doc_id stays.
+    by any of their texts, and so are those that it is linked with; n_shingles is each row's own. A row without doc_id is
+    linked with nothing and kept. Extra columns are ignored. Documents of equal sets share their component. Ties: the
+    smallest doc_id stays. Very long texts are taken whole; an empty table gives no rows.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = pinned(source.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, mins array<int>"))
-    whole = rows.where("n_shingles > 0 and doc_id is not null")
-    sets = whole.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    # one row for each set: copies do not meet here
-    sketches = pinned(whole.join(sets.select("rep", F.col("set_a").alias("a"), F.col("set_b").alias("b")), (F.col("doc_id") == F.col("rep")) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("rep", "mins", "set_a", "set_b").dropDuplicates(["set_a", "set_b"]))
-    found = components(edges_of(source.where("doc_id is not null"), sketches.select("rep", "mins"), link))
-    named = sketches.select("set_a", "set_b", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    filled = whole.join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return filled.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "text")
+    rows, sets = grouped(source, link, by_id=True)
+    named_sets = with_totals(sets, ["component"], F.struct("set_a", "set_b"), {"component_id": ("min", F.col("low"))}).select("set_a", "set_b", "component_id")
+    whole = rows.where("n_shingles > 0 and doc_id is not null").join(named_sets, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    # rows of a document whose text has no words belong with its other rows
+    rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    known = whole.groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("component_id")) if not rest.where("doc_id is not null").isEmpty() else None
+    filled = rest.withColumn("component_id", F.col("doc_id")) if known is None else rest.join(known, rest.doc_id == known.id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return whole.unionByName(filled).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """One document of each component with all its columns; documents without words and without doc_id stay.
+    """One row of each group of near-duplicate rows with all its columns; rows without words, and without doc_id, stay.
 
-    Of rows that share doc_id, one of a kept document stays.
+    Here each row is a document of its own, so rows that share a doc_id but not their text are dropped only as copies. Of a
+    group the row of the smallest doc_id stays; of its texts, if there are several, that of the smallest hash; of equal rows one.
     """
-    gone = near_duplicates(documents, link).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = documents.join(gone, documents.doc_id == gone["__gone"], "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    keyed = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
+    judged = F.coalesce(F.col("__id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows, sets = grouped(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), "text"), link, by_id=False)
+    whole = rows.where("n_shingles > 0 and doc_id is not null").join(sets.select("set_a", "set_b", "component"), ["set_a", "set_b"]).select("doc_id", "text_key", "component")
+    place = F.struct("doc_id", "text_key")
+    later = with_totals(whole.distinct(), ["component"], place, {"first": ("min", place)})
+    gone = later.where(place > F.col("first")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"))
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    # equal rows first meet where they are read, and then share the join's partitions
+    one = keyed.where(judged).groupBy("__id", "__key").agg(F.min(F.struct(*own)).alias("__row"))
+    kept = one.join(gone, (F.col("__id") == F.col("__gone_id")) & (F.col("__key") == F.col("__gone_key")), "left_anti").select("__row.*")
+    return kept.unionByName(keyed.where(~judged).select(*own))
