@@ -1,13 +1,13 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-Units are pairs of consecutive non-blank lines. Of every two consecutive pairs, that is of every window of three lines, the
-pair of smaller hash is the window's fingerprint (the right one of equals), so each repeated run of three lines shares a
-fingerprint with its copy. A fingerprint's positions are joined together with the line that extends its match to the left
-or to the right; what matches the first position, earlier in the corpus, is a later copy and goes. Overlapping matches of
-one document chain to its maximal repeated runs.
+Of every window of RUN consecutive non-blank lines the line of smallest hash, the last of equals, is selected: the distinct
+places so selected, about two in RUN + 1, are a text's fingerprints, and two copies of a run of RUN lines share one. Places
+are joined by fingerprint: those whose line is selected nowhere else drop out. The rest are extended both ways, to the
+windows that selected them; a window to which an earlier place of the same fingerprint extends as well is a later copy and
+goes. Overlapping windows of one document chain to its maximal repeated runs.
 
 Runs of one or two lines are no window. A caller that gives ``long_words`` has those of more words looked up whole: each line
-and each pair of consecutive non-blank lines of over ``long_words`` words is a unit of its own, compared by two hashes.
+and each pair of consecutive non-blank lines of over ``long_words`` words is a fingerprint of its own.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Non-blank lines in the shortest run that is deleted: WINDOW pairs of lines.
-WINDOW = 2
-RUN = WINDOW + 1
+from tidewire.llm.common import pinned, with_totals
+
+#: Non-blank lines in a window, the shortest run that is deleted.
+RUN = 3
 #: A word: a run of characters that are not blank, or one character of a script that is written without blanks.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
@@ -36,42 +37,58 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
 
 
-def matches(rows: DataFrame, long_words: int | None = None) -> DataFrame:
-    """__key, own: the line numbers of each match with an earlier place, of three lines, or of one or two of over ``long_words`` words."""
-    counted = {} if long_words is None else {"words": words_in, "salted": lambda x: F.xxhash64(F.lit("long"), x)}
-    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("hash"), (F.trim(x) == "").alias("blank"), *(f(x).alias(n) for n, f in counted.items()))), lambda x: ~x["blank"])
-    told = rows.where("text is not null").select("__key", numbered.alias("lines"))
+def solid_lines(text: Column, more: dict | None = None) -> Column:
+    """The non-blank lines: line number, and what ``more`` computes of each."""
+    each = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("line"), (F.trim(x) == "").alias("blank"), *(f(x).alias(n) for n, f in (more or {}).items())))
+    return F.filter(each, lambda x: ~x["blank"])
+
+
+def window(i: Column) -> Column:
+    """The window of lines from one on: the place that it selects and its key."""
+    a, b, c = (F.get("lines", i + k)["hash"] for k in range(RUN))
+    return F.struct(F.when((c <= a) & (c <= b), i + 2).when(b <= a, i + 1).otherwise(i).alias("pick"), F.xxhash64(a, b, c).alias("key"))
+
+
+def fingerprint(x: Column, i: Column, long_words: int | None) -> Column:
+    """The line at a place: print (its hash), at, and units, the windows or long runs that it stands for (key, from and size)."""
+    unit = lambda key, start, size: F.struct(key.alias("key"), start.cast("int").alias("from"), F.lit(size).alias("size"))
+    units = [F.when(F.get("windows", i - k)["pick"] == i, unit(F.get("windows", i - k)["key"], i - k, RUN)) for k in range(RUN)]
+    if long_words is not None:
+        after = F.get("lines", i + 1)
+        units.append(F.when(x["words"] > long_words, unit(F.xxhash64(F.lit(1), x["salted"]), i, 1)))
+        units.append(F.when(x["words"] + after["words"] > long_words, unit(F.xxhash64(F.lit(2), x["salted"], after["hash"], after["salted"]), i, 2)))
+    return F.struct(x["hash"].alias("print"), i.alias("at"), F.array_compact(F.array(*units)).alias("units"))
+
+
+def fingerprints(rows: DataFrame, long_words: int | None) -> DataFrame:
+    """__key, print, at and units of each selected place."""
+    more = {"hash": F.xxhash64} | ({} if long_words is None else {"words": words_in, "salted": lambda x: F.xxhash64(F.lit("long"), x)})
+    told = rows.where("text is not null").select("__key", solid_lines(F.col("text"), more).alias("lines"))
     if long_words is None:
         told = told.where(F.size("lines") >= RUN)
-    pair = lambda a, b: F.xxhash64(a["hash"], b["hash"])
-    pairs = told.select("__key", "lines", F.transform(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x, i: pair(x, F.get("lines", i + 1))).alias("pairs"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - RUN, F.lit(0))), window)
+    placed = told.select("__key", "lines", F.when(F.size("lines") >= RUN, windows).otherwise(F.slice(windows, 1, 0)).alias("windows"))
+    chosen = F.filter(F.transform("lines", lambda x, i: fingerprint(x, i, long_words)), lambda x: F.size(x["units"]) > 0)
+    return placed.select("__key", F.explode(chosen).alias("f")).select("__key", "f.*")
 
-    def window(x: Column, i: Column) -> Column:
-        left = x < F.get("pairs", i + 1)
-        print_ = F.when(left, x).otherwise(F.get("pairs", i + 1))
-        beyond = F.when(left, F.get("lines", i + 2)["hash"]).otherwise(F.get("lines", i)["hash"])
-        return F.struct(print_.alias("fingerprint"), left.cast("int").alias("way"), beyond.alias("beyond"), i.alias("at"), F.array(*(F.get("lines", i + k)["line"] for k in range(RUN))).alias("own"))
 
-    units = F.transform(F.slice("pairs", 1, F.greatest(F.size("pairs") - 1, F.lit(0))), window)
-    if long_words is not None:
-        # way: 0 and 1 are windows that extend to the left and right, 2 one line, 3 two, so like meets like only
-        single = lambda x, i: F.struct(x["hash"].alias("fingerprint"), F.lit(2).alias("way"), x["salted"].alias("beyond"), i.alias("at"), F.array(x["line"]).alias("own"))
-        both = lambda x, i: F.struct(pair(x, F.get("lines", i + 1)).alias("fingerprint"), F.lit(3).alias("way"), F.xxhash64(x["salted"], F.get("lines", i + 1)["salted"]).alias("beyond"), i.alias("at"), F.array(x["line"], F.get("lines", i + 1)["line"]).alias("own"))
-        whole = F.filter(F.transform("lines", lambda x, i: F.when(x["words"] > long_words, single(x, i))), lambda x: x.isNotNull())
-        twos = F.filter(F.transform("lines", lambda x, i: F.when(x["words"] + F.get("lines", i + 1)["words"] > long_words, both(x, i))), lambda x: x.isNotNull())
-        units = F.concat(units, whole, twos)
-    windows = pairs.select("__key", F.explode(units).alias("w")).select("__key", "w.*")
-    same = ["fingerprint", "way", "beyond"]
-    first = windows.groupBy(*same).agg(F.min(F.struct("__key", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return windows.join(first, same).where(F.struct("__key", "at") > F.col("first")).select("__key", "own")
+def matches(rows: DataFrame, long_words: int | None = None) -> DataFrame:
+    """__key, from and size (places among the non-blank lines) of each run with an earlier copy."""
+    shared = with_totals(fingerprints(rows, long_words), ["print"], F.struct("__key", "at"), {"copies": ("sum", F.lit(1))}, F.col("copies") > 1)
+    runs = pinned(shared.select("__key", "print", F.explode("units").alias("u")).select("__key", "print", "u.*"))
+    place = F.struct("__key", "from")
+    compared = with_totals(runs, ["print", "key", "size"], place, {"first": ("min", place), "last": ("max", place)}, F.col("first") < F.col("last"))
+    return compared.where(place > F.col("first")).select("__key", "from", "size")
 
 
 def edited(documents: DataFrame, long_words: int | None = None) -> DataFrame:
     """All rows and columns, text without later copies of runs, and ``__lines``, ``__removed``, the counts of lines."""
     rows = keyed(documents)
-    gone = matches(rows, long_words).groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("__gone"))
+    runs = matches(rows, long_words).groupBy("__key").agg(F.collect_set(F.struct("from", "size")).alias("__runs"))
     # only these texts go over the network with their line numbers; the join keeps a repeated row as often as it comes
-    joined = rows.join(gone.withColumnRenamed("__key", "__other"), rows["__key"] == F.col("__other"), "left").drop("__other")
+    met = rows.join(runs.withColumnRenamed("__key", "__other"), rows["__key"] == F.col("__other"), "left").drop("__other")
+    solid = met.withColumn("__solid", F.when(F.col("__runs").isNotNull(), F.transform(solid_lines(F.col("text")), lambda x: x["line"])))
+    joined = solid.withColumn("__gone", F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.slice("__solid", r["from"] + 1, r["size"]))))).drop("__runs", "__solid")
     # one sort puts each line number that goes before its line: linear, however many lines there are
     tagged = F.array_sort(F.concat(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("tag"), x.alias("line"))), F.transform("__gone", lambda i: F.struct(i.alias("i"), F.lit(0).alias("tag"), F.lit(None).cast("string").alias("line")))))
     sorted_rows = joined.withColumn("__tagged", F.when(F.col("__gone").isNotNull(), tagged))
@@ -90,12 +107,19 @@ def deduplicated(documents: DataFrame, long_words: int | None = None) -> DataFra
 
     With ``long_words``, later copies of one or two consecutive non-blank lines of over so many words go too.
     The first copy, by doc_id (nulls last) and line, stays; copies within one document count. Blank lines neither make a
-    run nor break it and stay. Null and empty texts stay as they are. Equal rows (same doc_id and text) are edited alike and
+    run nor break it and stay. Null and empty texts stay as they are; very long ones are edited whole; an empty table stays empty. Equal rows (same doc_id and text) are edited alike and
     are not copies of each other.
     """
     return edited(documents, long_words).select(*documents.columns)
 
 
-def line_report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_chars and kept_sha256 (of the text that stays) of each document row."""
-    return edited(documents.select("doc_id", "text")).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+#: Words that a repeated run of fewer than RUN lines must exceed in the report, and in the corpus pipeline.
+LONG_WORDS = 50
+
+
+def line_report(documents: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_chars and kept_sha256 (of the text that stays) of each document row.
+
+    Runs of three or more lines, and shorter ones of over ``long_words`` words, as in ``deduplicated``.
+    """
+    return edited(documents.select("doc_id", "text"), long_words).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

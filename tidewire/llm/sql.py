@@ -39,12 +39,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ss USING (doc_id)
 """
 
-OP7 = r"""
-WITH l AS (SELECT doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: {'i': i - 1, 't': x[i]}), recursive := true) FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-q AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(t, ' ') <> ''),
-w AS (SELECT doc_id, p, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w WHERE k IS NOT NULL),
-g AS (SELECT DISTINCT q.doc_id, q.i FROM r JOIN q ON q.doc_id = r.doc_id AND q.p BETWEEN r.p AND r.p + 2 WHERE r.n > 1),
+# a word: a run without blanks, or one character of a script that is written without them
+UNSPACED = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+WORDS = rf"len(regexp_extract_all(t, '[{UNSPACED}]|[^ \t\n\x0B\f\r{UNSPACED}]+'))"
+# every run of three non-blank lines, and of one or two with over 50 words, that came before in the corpus goes
+OP7 = rf"""
+WITH l AS (SELECT doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: {{'i': i - 1, 't': x[i]}}), recursive := true) FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+q AS (SELECT doc_id, i, t, {WORDS} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(t, ' ') <> ''),
+v AS (SELECT doc_id, p, t, n, t || chr(10) || lead(t) OVER o AS t2, n + lead(n) OVER o AS n2, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS t3 FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+w AS (SELECT doc_id, p, 3 AS size, t3 AS k FROM v UNION ALL SELECT doc_id, p, 1, t FROM v WHERE n > 50 UNION ALL SELECT doc_id, p, 2, t2 FROM v WHERE n2 > 50),
+r AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, p) AS n FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT q.doc_id, q.i FROM r JOIN q ON q.doc_id = r.doc_id AND q.p BETWEEN r.p AND r.p + r.size - 1 WHERE r.n > 1),
 k AS (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND g.i = l.i) GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, coalesce(length(k.text), 0)::BIGINT AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
