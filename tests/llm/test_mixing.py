@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from conftest_llm import documents, prose
+from pyspark.sql import functions as F
 from tidewire.llm import mixing
 
 
@@ -45,9 +46,42 @@ def test_targets_and_takes(spark, rng):
     assert mixing.shard_counts(docs).count() > 0
 
 
-def test_permutation_is_one(spark):
-    from pyspark.sql import functions as F
+def test_packed_blocks(spark, rng, monkeypatch):
+    """Every slot holds a block of its source's words in order, every shard its slots, and the counts are those of the draw."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    sources = [rng.choice(["a", "b", None]) for _ in range(60)]
+    texts = [" ".join(f"d{i}w{k}" for k in range(rng.randrange(200))) for i in range(60)]
+    docs = documents(spark, texts, sources=sources).withColumn("block", F.lit(1)).withColumn("start", F.lit(2))
+    rows = mixing.packed(docs).collect()
+    by_shard, blocks, counts = defaultdict(list), {}, defaultdict(int)
+    for r in rows:
+        by_shard[r.shard].append(r.slot)
+        counts[r.shard, r.source] += 1
+        assert blocks.setdefault((r.source, r.block), r.text) == r.text
+    assert sorted(by_shard) == list(range(len(by_shard))) and all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+    assert sorted(map(len, by_shard.values()))[1:] == [16] * (len(by_shard) - 1)
+    assert {(r.shard, r.source): r.slots for r in mixing.shard_counts(docs).collect()} == dict(counts)
+    assert len({tuple(sorted((str(s), n) for (k, s), n in counts.items() if k == shard)) for shard in by_shard}) > 1  # shards differ
+    taken = defaultdict(int)
+    for r in rows:
+        for w in r.text.split():
+            taken[int(w[1:].split("w")[0])] += 1
+    assert dict(taken) == {r.doc_id: r.taken for r in mixing.mix_report(docs).collect() if r.taken}
+    for source in ("a", "b", None):
+        own = [blocks[k] for k in sorted(k for k in blocks if k[0] == source)]
+        assert {len(x.split()) for x in own[:-1]} <= {mixing.BLOCK_WORDS}
+        heard = " ".join(own).split()
+        runs = [w.split("w")[0] for i, w in enumerate(heard) if not i or w.split("w")[0] != heard[i - 1].split("w")[0]]
+        assert len(set(heard)) == len(heard) and (len(runs) == len(set(runs)) or len(own) < max(k[1] for k in blocks if k[0] == source) + 1)
+
 
+def test_report_follows_the_draw(spark, rng):
+    plan = mixing.mix_report(documents(spark, [prose(rng, 90) for _ in range(20)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "first" in plan and "slots" in plan
+
+
+def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("k")).alias("x")).collect()
         assert sorted(r.x for r in rows) == list(range(n))

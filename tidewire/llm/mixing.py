@@ -1,10 +1,11 @@
 """Mixing sources to target weights by blocks of words, with DataFrame functions only.
 
-The words of each source, in a pseudorandom order of its documents, are cut into blocks of ``BLOCK_WORDS``. The output is a
-row of slots in shards of ``SHARD_SLOTS``. How many slots each source gets in each shard is a multinomial draw whose totals
-are held to the targets: every source owns as many draws as its target needs, and a pseudorandom permutation of all draws
-deals them to the slots. A source's draws run through its blocks by one pseudorandom permutation of block numbers after
-another, so no block comes more than three times. Slots and documents meet in a join by (source, block).
+The words of each source, in a pseudorandom order of its documents, are packed into blocks of ``BLOCK_WORDS``. The output is
+a row of shards of ``SHARD_SLOTS`` slots. How many slots each source gets in each shard is a multinomial draw whose totals
+are held to the targets: every source owns as many draws as its target needs, a pseudorandom permutation of all draws deals
+them to shards, and the draws are counted by shard and source. The slots of a source, numbered through its shards by those
+counts, go through its blocks by one pseudorandom permutation of block numbers after another, so no block comes more than
+three times. Slots and packed documents meet in a join by (source, block).
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ SHARD_SLOTS = 4096
 WEIGHTS = (1, 2, 3)
 #: Most passes over a source.
 REPEATS = 3
-#: Documents of a source are put in order within so many buckets.
-BUCKETS = 4096
+#: Documents of a source are put in order within buckets of about so many, and shards are numbered by so many.
+BUCKET = 1 << 14
 #: Rounds of the index permutation.
 ROUNDS = 12
+#: A table of so many sources may be broadcast.
+SMALL = 100_000
 #: Draws listed by one row before they are dealt out.
 LOT = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,26 +68,51 @@ def targets(sizes: DataFrame) -> DataFrame:
     return drawn.select("source", "source_size", "target", "blocks", "draws", F.coalesce(F.sum("draws").over(names.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_draw"), F.sum("draws").over(whole).alias("all_draws"))
 
 
-def slots(goals: DataFrame) -> DataFrame:
-    """shard, slot, source and block of the whole mix."""
+def dealt(goals: DataFrame) -> DataFrame:
+    """shard, source and slots: how many slots of each output shard the draws give to each source."""
     lots = goals.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("draws") / LOT).cast("long") - 1)).alias("lot"))
     width = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: lots are few and small, what they list isn't
-    draws = lots.repartition(width, "source", "lot").select("source", "blocks", "all_draws", "first_draw", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("draws"), (F.col("lot") + 1) * LOT) - 1)).alias("draw"))
+    draws = lots.repartition(width, "source", "lot").select("source", "all_draws", "first_draw", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("draws"), (F.col("lot") + 1) * LOT) - 1)).alias("draw"))
     place = permuted(F.col("first_draw") + F.col("draw"), F.col("all_draws"), F.lit("slots"))
-    block = permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(F.col("draw") / F.col("blocks")))
-    return draws.select("source", place.alias("place"), block.alias("block")).select(F.floor(F.col("place") / SHARD_SLOTS).cast("long").alias("shard"), (F.col("place") % SHARD_SLOTS).cast("long").alias("slot"), "source", "block")
+    return draws.groupBy(F.floor(place / SHARD_SLOTS).cast("long").alias("shard"), "source").agg(F.count("*").alias("slots"))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """The counts and ``first``, the number of the source's first slot in the shard. Ranges of shards keep a source out of one window."""
+    ranged = counts.withColumn("range", F.floor(F.col("shard") / BUCKET))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranged.groupBy("source", "range").agg(F.sum("slots").alias("n")).select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("head"))
+    within = Window.partitionBy("source", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("ahead", F.coalesce(F.sum("slots").over(within), F.lit(0)))
+    return inside.join(heads, inside.source.eqNullSafe(heads.s) & (inside.range == heads.r)).select("shard", "source", "slots", (F.col("head") + F.col("ahead")).alias("first"))
+
+
+def few(goals: DataFrame) -> DataFrame:
+    """A table of a row for each source, broadcast where their count is small; else the join may split a hot source."""
+    return F.broadcast(goals) if goals.count() <= SMALL else goals
+
+
+def slots(goals: DataFrame) -> DataFrame:
+    """shard, source and block of each slot of the mix, and ``number``, which is unique in its shard and source."""
+    known = goals.select(F.col("source").alias("s"), "blocks")
+    counts = numbered(pinned(dealt(goals)))
+    given = counts.join(few(known), counts.source.eqNullSafe(F.col("s")))
+    each = given.select("shard", "source", "blocks", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("number"))
+    index = F.col("first") + F.col("number")
+    return each.select("shard", "source", "number", permuted(index % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(index / F.col("blocks"))).alias("block"))
 
 
 def placed(sizes: DataFrame) -> DataFrame:
-    """Each document's first word in its source. Buckets keep a source of any size out of one window."""
-    rows = sizes.where("size > 0").withColumn("bucket", F.pmod("turn", F.lit(BUCKETS)))
+    """Each document's first word in its source. Buckets, as many as the documents need, keep a source of any size out of one window."""
+    buckets = -(-sizes.count() // BUCKET) or 1
+    rows = sizes.where("size > 0").withColumn("bucket", F.pmod("turn", F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = sums.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("head"))
     within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     started = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = started.source.eqNullSafe(heads.source) & (started.bucket == heads.bucket)
-    return started.join(heads, same).select(started.source, "doc_id", "size", (F.col("start") + F.col("head")).alias("start"))
+    return started.join(heads, same).select(started.source, "doc_id", "turn", "size", (F.col("start") + F.col("head")).alias("start"))
 
 
 def pieces(places: DataFrame) -> DataFrame:
@@ -93,28 +121,47 @@ def pieces(places: DataFrame) -> DataFrame:
     cut = places.select("*", block.alias("block"))
     head = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     tail = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
-    return cut.select("source", "block", "doc_id", "size", "start", (head - F.col("start")).alias("first_word"), (tail - head).alias("words"))
+    return cut.select("source", "block", "doc_id", "turn", "size", "start", (head - F.col("start")).alias("first_word"), (tail - head).alias("words"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: shard, slot, source, block, doc_id, first_word and words, a row for each document's part of each slot."""
+    """The mix itself: shard, number, source, block, doc_id, first_word and words, a row for each document's part of each slot."""
     sizes = pinned(sized(documents))
-    parts, dealt = pieces(placed(sizes)), slots(pinned(targets(sizes)))
-    same = parts.source.eqNullSafe(dealt.source) & (parts.block == dealt.block)
-    # the planner takes what the draws list for as small as the table of sources, so the join is named
-    return dealt.hint("merge").join(parts, same).select("shard", "slot", dealt.source, dealt.block, "doc_id", "first_word", "words")
+    parts, each = pieces(placed(sizes)), slots(pinned(targets(sizes)))
+    same = parts.source.eqNullSafe(each.source) & (parts.block == each.block)
+    # the planner takes listed slots for as few as the counts, so the join is named
+    return each.hint("merge").join(parts, same).select("shard", "number", each.source, each.block, "doc_id", "first_word", "words")
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """The output: shard, slot, source, block and text, the block's words in order with one blank between them.
+
+    The slots of a shard stand in a pseudorandom order. Blocks hold BLOCK_WORDS words, but for the last of a source.
+    """
+    sizes = pinned(sized(documents))
+    goals = pinned(targets(sizes))
+    parts = pieces(placed(sizes))
+    texts = documents.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("source").alias("of"), F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("all_words"))
+    own = parts.join(texts.dropDuplicates(["id", "key", "of"]), parts.doc_id.eqNullSafe(F.col("id")) & (parts.turn == F.col("key")) & parts.source.eqNullSafe(F.col("of")))
+    piece = F.struct("start", "first_word", F.slice("all_words", F.col("first_word").cast("int") + 1, F.col("words").cast("int")).alias("own"))
+    # a block gathers BLOCK_WORDS words, no more
+    blocks = own.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["own"])), " ").alias("text"))
+    each = slots(goals)
+    joined = each.hint("merge").join(blocks, each.source.eqNullSafe(F.col("s")) & (each.block == F.col("b"))).select("shard", "source", "number", "block", "text")
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "number", "shard"), F.asc_nulls_last("source"), "number")
+    return joined.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "block", "text")
 
 
 def shard_counts(documents: DataFrame) -> DataFrame:
     """Slots that each source got in each output shard."""
-    return slots(targets(sized(documents))).groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    return dealt(targets(sized(documents)))
 
 
 def mix_report(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document row.
 
     A null source is a source of its own, the last. Null and empty texts have size 0 and nothing is taken from them; with
-    no words at all, all targets are 0. Rows that repeat a doc_id are separate documents, ordered by the hash of their text.
+    no words at all, all targets are 0; an empty table gives no rows. Very long texts are cut whole. Rows that repeat a doc_id are separate documents, ordered by the hash of their text.
     Extra columns are ignored. Reruns agree: all draws are hashes of doc_id, text, source and numbers.
     """
     sizes = pinned(sized(documents))
@@ -122,10 +169,10 @@ def mix_report(documents: DataFrame) -> DataFrame:
     uses = slots(goals).groupBy("source", "block").agg(F.count("*").alias("uses"))
     parts = pieces(placed(sizes))
     same = parts.source.eqNullSafe(uses.source) & (parts.block == uses.block)
-    # the planner takes listed draws for as small as the table of sources, so the join is named
+    # the planner takes listed slots for as few as the counts, so the join is named
     taken = parts.join(uses.hint("merge"), same, "left").groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
     rows = taken.select("source", "doc_id", "size", "taken").unionByName(sizes.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
-    # a row for each source, so small beside the rows; the join may still split a hot source
-    return rows.join(goals, rows.source.eqNullSafe(goals.source)).select("doc_id", "size", "source_size", "target", "taken")
+    told = few(goals.select(F.col("source").alias("s"), "source_size", "target"))
+    return rows.join(told, rows.source.eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
