@@ -67,4 +67,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op4_license_scan": licenses.oracle(), "op5_chat_format": OP5.replace("\\\\", "\\"), "op7_line_dedup": OP7, "op2_near_dedup": OP2, "op3_decontaminate": OP3}
+
+
+def op4() -> str:
+    """Fragments are unnested; a recursive walk grows a run from each while a known sentence goes on so; rules are folded one by one."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(n)}, {quote(i)})" for n, i in licenses.KNOWN.items())
+    rules = [(name, rule) for name, rules in licenses.RULES.items() for rule in rules]
+    folds, last = [], "f0"
+    for k, (name, rule) in enumerate(rules, 1):
+        hit, rest = quote(licenses.pattern(rule)), quote("".join(f"\\{j}" for j in range(1, len(rule))))
+        folds.append(f"f{k} AS (SELECT doc_id, n, ids, regexp_replace(seq, {hit}, {rest}) AS seq, CASE WHEN regexp_matches(seq, {hit}) AND NOT list_contains(names, {quote(name)}) THEN list_append(names, {quote(name)}) ELSE names END AS names FROM {last})")
+        last = f"f{k}"
+    return rf"""
+WITH RECURSIVE known(t, id) AS (VALUES {known}),
+a AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+o AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(^|[^a-z0-9])([a-z])\.', '\1\2 ', 'g'), '(^|[^a-z0-9])([a-z])\.', '\1\2 ', 'g') AS x FROM a),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '[.!?]["'')\]]*([ \t\r]+|$)', chr(2), 'g'), '[.!?]["'')\]]*\n', chr(2) || chr(10), 'g') AS x FROM o),
+l AS (SELECT doc_id, unnest(list_transform(string_split(x, chr(10)), lambda y, i: {{'line': i, 'y': y, 'last': i = len(string_split(x, chr(10)))}}), recursive := true) FROM b),
+h AS (SELECT doc_id, line, CASE WHEN line > 1 AND NOT last AND NOT regexp_matches(y, '[a-z0-9]') THEN chr(2) ELSE y END AS y FROM l),
+p AS (SELECT doc_id, line, unnest(list_transform(string_split(replace(regexp_replace(y, '[,;:]["'')]*[ \t]', chr(1), 'g'), chr(2), chr(2) || chr(1)), chr(1)), lambda z, i: {{'i': i, 'z': z}}), recursive := true) FROM h),
+q AS (SELECT doc_id, line, i, trim(regexp_replace(replace(z, chr(2), ''), '[^a-z0-9]+', ' ', 'g')) AS t, contains(z, chr(2)) AS hard FROM p),
+s AS (SELECT doc_id, t, hard, row_number() OVER (PARTITION BY doc_id ORDER BY line, i) AS n FROM q WHERE t <> '' OR hard),
+r AS (SELECT doc_id, n AS first, n AS upto, t AS said, hard FROM s WHERE t <> '' AND EXISTS (SELECT 1 FROM known WHERE known.t = s.t OR starts_with(known.t, s.t || ' '))
+  UNION ALL SELECT r.doc_id, first, s.n, CASE WHEN s.t = '' THEN said ELSE said || ' ' || s.t END, s.hard FROM r JOIN s ON s.doc_id = r.doc_id AND s.n = r.upto + 1
+  WHERE NOT r.hard AND EXISTS (SELECT 1 FROM known WHERE known.t = said || ' ' || s.t OR starts_with(known.t, said || ' ' || s.t || ' '))),
+m AS (SELECT doc_id, first, arg_max(id, upto) AS id FROM r JOIN known ON known.t = r.said GROUP BY 1, 2),
+f0 AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY first) AS ids, ';' || string_agg(id, ';;' ORDER BY first) || ';' AS seq, []::VARCHAR[] AS names FROM m GROUP BY 1),
+{", ".join(folds)}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids,
+  CASE WHEN names IS NULL THEN '' WHEN len(names) = 0 AND contains(seq, ';{licenses.RESERVED};') THEN '{licenses.RESERVED_NAME}' ELSE array_to_string(names, ',') END AS licenses
+FROM documents d LEFT JOIN {last} f ON f.doc_id = d.doc_id
+"""
+
+
+ORACLES = {"op4_license_scan": op4(), "op5_chat_format": OP5.replace("\\\\", "\\"), "op7_line_dedup": OP7, "op2_near_dedup": OP2, "op3_decontaminate": OP3}
