@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -32,6 +34,8 @@ def test_unreadable_time_is_null(spark):
         ("http://example.com:8080", "http://example.com:8080/"),
         ("https://example.com:443/x/?empty=&ref=1", "https://example.com/x"),
         ("", ""),
+        ("https://e.com/?a-b=2&a=1", "https://e.com/?a=1&a-b=2"),
+        ("https://e.com/x?q=a%20b&z=%7e*", "https://e.com/x?q=a+b&z=~%2A"),
     ],
 )
 def test_canonical_url(spark, url, want):
@@ -148,14 +152,111 @@ def test_chart_in_pence(spark):
 
 
 def test_other_sources(spark):
-    atom = '<feed><entry><category term="8-K/A"/><link href="https://sec.gov/1"/><updated>2026-01-09T10:00:00Z</updated></entry><entry><category term="4"/><link href="https://sec.gov/2"/></entry></feed>'
-    assert [r.title for r in payloads.filings(spark.createDataFrame([(1, atom)], "payload_id int, payload string"), F.lit("Apple")).collect()] == ["Apple files 8-K/A"]
+    entry = "<entry><filing-type>{}</filing-type><filing-href>https://sec.gov/{}</filing-href><filing-date>2026-01-09</filing-date>{}</entry>"
+    atom = "<feed>" + entry.format("8-K/A", 1, "<form-name>Current report &amp;#8217;x</form-name>") + entry.format("4", 2, "") + entry.format("424B5", 3, "") + entry.format("S-4", 4, "") + "</feed>"
+    rows = payloads.filings(spark.createDataFrame([(1, atom)], "payload_id int, payload string"), F.lit("Apple")).orderBy("ordinal").collect()
+    assert [(r.title, r.url, r.published_at) for r in rows] == [("Apple filed 8-K/A: Current report &#8217;x", "https://sec.gov/1", datetime(2026, 1, 9)), ("Apple filed 424B5", "https://sec.gov/3", datetime(2026, 1, 9))]
     found = '{"news":[{"title":"t","link":"https://a.com","thumbnail":{"resolutions":[{"url":"s","width":1},{"url":"w","width":9},{"url":"v","width":9}]}},{"title":null,"link":"x"}]}'
     assert [r.image for r in payloads.search_news(spark.createDataFrame([(1, found)], "payload_id int, payload string")).collect()] == ["w"]
     lines = spark.createDataFrame([(1, '{"k":"a","v":1}'), (2, "{bad"), (3, '{"k":"a","v":2}')], "line_no int, value string")
     assert [tuple(r) for r in payloads.progress(lines, "k string, v int", "k").collect()] == [("a", 2)]
-    assert one(spark, payloads.page_image(F.col("h")), h='<img src="a.svg"><img width="50" src="b.png"><img src="c.png" width="400">') == "c.png"
-    assert one(spark, payloads.page_image(F.col("h")), h='<meta property="og:image" content="o.png"><img src="c.png">') == "o.png"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<img src="a.svg"><img width="50" src="b.png"><img src="c.png" width="400">', "https://e.com/news/c.png"),
+        ('<meta property="og:image" content="o.png"><img src="c.png">', "https://e.com/news/o.png"),
+        ("<meta content='/i/o.png?a=1&amp;b=2' name='twitter:image'>", "https://e.com/i/o.png?a=1&b=2"),
+        ('<meta property="og:image" content="x.svg"><meta property=og:image:secure_url content=//cdn.com/y.jpg>', "https://cdn.com/y.jpg"),
+        ('<meta itemprop="image" content="https://a.com/z.png">', "https://a.com/z.png"),
+        ('<img src="data:image/gif;base64,x"><img data-src="late.png" height="150px"><img data-src="later.png">', "https://e.com/news/later.png"),
+        ("<p>none</p>", None),
+    ],
+)
+def test_page_image(spark, html, want):
+    assert one(spark, payloads.page_image(F.col("h"), F.col("b")), h=html, b="https://e.com/news/story?x=1") == want
+
+
+def test_entities(spark):
+    assert one(spark, payloads.unescaped(F.col("t")), t="Shell&#8217;s &#x1F600; &quot;win&quot;&nbsp;&amp;lt;") == "Shell’s 😀 \"win\" &lt;"
+
+
+def test_patch_rows_of_one_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    patch = spark.createDataFrame([(1, "p", 2), (1, "q", 1), (None, "n", 3)], "k int, x string, at int")
+    assert sorted(map(tuple, upserts.patched(old, patch, "k", overwrite=["x"], order="at").collect())) == [(1, "p"), (2, "b")]
+
+
+def test_catalogue_grows(spark):
+    old = spark.createDataFrame([("A", "old", "STOCK", "USD")], "short_name string, name string, type string, currency_code string")
+    new = spark.createDataFrame([("A", "new", "ETF", None, 1), ("B", "b", "STOCK", None, 2), ("B", "c", "STOCK", "GBP", 3), ("C", "", "STOCK", None, 4)], "short_name string, name string, type string, currency_code string, at int")
+    assert sorted(map(tuple, upserts.catalogue_upsert(old, new, "at").collect())) == [("A", "new", "ETF", "USD"), ("B", "c", "STOCK", "GBP")]
+    watch = spark.createDataFrame([("A", 3)], "short_name string, position int")
+    assert sorted(map(tuple, upserts.followed(upserts.followed(watch, "B"), "A").collect())) == [("A", 3), ("B", 4)]
+    assert [tuple(r) for r in upserts.followed(watch.limit(0), "B").collect()] == [("B", 0)]
+
+
+@pytest.mark.parametrize(("text", "token"), [("Shell cuts its full-year dividend", "cuts_dividend"), ("hit 52-week low", "52_week_low"), ("Analyst Cuts price  target on X", "cuts_price_target"), ("beats analyst estimates", "beats_estimates"), ("an all-time high", "all_time_high")])
+def test_phrases_collapse(spark, text, token):
+    assert token in one(spark, sentiment.collapsed(F.col("t")), t=text)
+
+
+@pytest.mark.parametrize(("text", "weight"), [("Top picks today", 0.0), ("52-week high for Acme", 2.4), ("all-time low", -3.2), ("Shares open higher!", 1.8), ("price target cut", -2.8), ("beating, missing", 0.4), ("is not up", -0.74 * 1.4)])
+def test_weights(spark, text, weight):
+    assert one(spark, sentiment.compound(F.col("t")), t=text) == pytest.approx(weight / math.sqrt(weight * weight + 15), abs=6e-4)
+
+
+def test_base_lexicon(spark):
+    assert one(spark, sentiment.compound(F.col("t"), {"great": 3.0, "calm": 1.5}), t="great calm") == pytest.approx(1.5 / math.sqrt(1.5**2 + 15), abs=6e-4)
+
+
+def plain_clusters(rows, stored):
+    """Every article against all stored ones and all winners before it."""
+    rank = lambda r: (r["relevance"] != "direct", r["rank"], r["image"] is None, r["description"] is None, len(r["title"]), r["arrival"])
+
+    def same(a, b):
+        if a["url_hash"] and a["url_hash"] == b["url_hash"]:
+            return True
+        if abs((a["when"] - b["when"]).total_seconds()) > 72 * 3600:
+            return False
+        return bool(a["title_key"]) and a["title_key"] == b["title_key"] or similarity.token_set_ratio(a["title"], b["title"]) >= 88
+
+    out, winners = {}, []
+    for r in sorted(rows, key=rank):
+        copy = next((s for s in stored if same(r, s)), None)
+        match = None if copy else next((w for w in winners if same(r, w)), None)
+        if not copy and not match:
+            winners.append(r)
+        out[r["arrival"]] = (None, copy["id"]) if copy else ((match or r)["arrival"], None)
+    return out
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["Apple", "Inc", "profit", "profits", "rise", "rises", "falls", "amid", "strong", "demand", "in", "China", "for", "phones", "tablets", "again", "quarter", "record", "sales"]
+    title = lambda: "Apple " + " ".join(rng.choice(words) for _ in range(rng.randrange(3, 9)))
+    titles = [title() for _ in range(25)]
+    edited = lambda t: t if rng.random() < 0.3 else t.replace(rng.choice(t.split()), rng.choice(words), 1) if rng.random() < 0.7 else t + "s"
+    changes = [{"title": edited(rng.choice(titles)), "url": f"https://x.com/{rng.randrange(150)}", "published_at": NOW - timedelta(hours=rng.randrange(200)), "image": rng.choice([None, "i"]), "description": rng.choice([None, "Apple did"])} for _ in range(160)]
+    judged = stories.cleaned(articles(spark, *changes), NOW)
+    known = spark.createDataFrame([("AAPL", i, edited(t), "", "", NOW - timedelta(hours=5 * i)) for i, t in enumerate(titles[:6])], stories.STORED)
+    known = known.withColumns({"title_key": normalize.title_key(F.col("title"))})
+    fit = [r.asDict() for r in judged.where("drop_reason IS NULL").withColumn("rank", normalize.source_rank(F.col("source_domain"))).collect()]
+    past = [r.asDict() | {"when": r.publish_time} for r in known.orderBy(F.desc("publish_time"), F.desc("id")).collect()]
+    for stored, pool in ((None, []), (known, past)):
+        want = plain_clusters(fit, pool)
+        got = {r.arrival: (r.winner, r.stored_id) for r in stories.clustered(judged, stored).collect()}
+        assert got == want and len({w for w, _ in got.values()}) < len(got)
+
+
+def test_ingest_pipeline(spark):
+    raw = articles(spark, {}, {"url": "https://x.com/2", "image": "i", "description": "Apple text"}, {"title": "Apple opens an entirely different office in Oslo", "url": "https://x.com/3"})
+    known = spark.createDataFrame([("AAPL", 7, "Apple beats quarterly profit estimates again!", "", "", NOW, None, "kept")], stories.STORED + ", image string, description string")
+    rows, more = stories.ingested(raw, known, NOW)
+    (row,) = rows.collect()
+    assert (row.arrival, row.source_url, row.lang, row.relevance) == (2, "https://x.com", "en", "direct")
+    assert [(r.id, r.image, r.description) for r in more.collect()] == [(7, "i", None)]
 
 
 def test_streams_equal_batch(spark, tmp_path):

@@ -71,14 +71,18 @@ def domain_of(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """lower-case scheme and host, no www., default port, tracking parameters, empty values, fragment or trailing slash; parameters sorted."""
+    """lower-case scheme and host, no www., default port, tracking parameters, empty
+    values, fragment or trailing slash; parameters decoded, sorted by name and value, and encoded again."""
     url = F.trim(url)
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*?:(\d+)(?:[/?#]|$)", 1)
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    params = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
-    kept = F.array_sort(F.filter(params, lambda p: p.rlike("^[^=]+=.+") & ~F.regexp_extract(p, "^([^=]*)", 1).rlike(TRACKING)))
-    query = F.array_join(kept, "&")
+    params = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    pairs = F.transform(params, lambda p: F.struct(decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
     shown_port = F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port))
     joined = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host_of(url), shown_port, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(joined)
@@ -109,6 +113,11 @@ def title_key(title: Column) -> Column:
     return F.when(F.size(unique) >= 4, F.array_join(F.slice(unique, 1, 12), " ")).otherwise("")
 
 
+def meaningful(title: Column, least: int = 4) -> Column:
+    """whether a headline has so many different content words."""
+    return F.size(F.array_distinct(title_tokens(title))) >= least
+
+
 def source_rank(domain: Column) -> Column:
     """an outlet's own rank, else that of the first outlet of the table whose subdomain it is."""
     exact = F.create_map(*(F.lit(x) for pair in SOURCE_RANKS.items() for x in pair))
@@ -147,3 +156,35 @@ def age_bucket(ts: Column, as_of: Column) -> Column:
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp(ts)
     whole = lambda n: F.floor(seconds / n).cast("string")
     return F.when(seconds < 60, "just now").when(seconds < 3600, F.concat(whole(60), F.lit("m ago"))).when(seconds < 86400, F.concat(whole(3600), F.lit("h ago"))).otherwise(F.concat(whole(86400), F.lit("d ago")))
+
+
+#: Signs of currencies.
+CURRENCY_SIGNS = {"USD": "$", "GBP": "£", "EUR": "€"}
+NOTHING = "—"
+
+
+def shown_price(value: Column, currency: Column) -> Column:
+    """sign or code, thousands apart, four digits under one, else two; a dash for null."""
+    signs = F.create_map(*(F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair))
+    prefix = F.coalesce(F.try_element_at(signs, currency), F.when(currency != "", F.concat(currency, F.lit(" "))), F.lit(""))
+    return F.when(value.isNull(), NOTHING).otherwise(F.concat(prefix, F.when(F.abs(value) < 1, F.format_number(value, 4)).otherwise(F.format_number(value, 2))))
+
+
+def signed(value: Column, unit: str = "") -> Column:
+    """two digits behind the sign, for percents and scores; a dash for null."""
+    return F.when(value.isNull(), NOTHING).otherwise(F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.2f", value), F.lit(unit)))
+
+
+def short_age(ts: Column, as_of: Column, *, long: bool = False) -> Column:
+    """5m, 3h, 2d, or 5 min ago, 3 hr ago, yesterday, 2 days ago; each unit rounded half up, the future is now, null is empty."""
+    minutes = F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 60 + 0.5))
+    hours = F.floor(minutes / 60 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    said = lambda n, short, words: F.concat(n.cast("string"), F.lit(words if long else short))
+    last = F.when(days == 1, "yesterday").otherwise(said(days, "d", " days ago")) if long else said(days, "d", "")
+    return F.when(ts.isNull(), "").when(minutes < 1, "just now" if long else "now").when(minutes < 60, said(minutes, "m", " min ago")).when(hours < 24, said(hours, "h", " hr ago")).otherwise(last)
+
+
+def stale(ts: Column, as_of: Column, minutes: int = 15) -> Column:
+    """Without a time, or older than so many minutes."""
+    return F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp(ts) > minutes * 60, F.lit(True))

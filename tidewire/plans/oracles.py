@@ -18,8 +18,9 @@ CANONICAL = rf"""(SELECT page_id, {HOST} AS domain, lower(regexp_extract(url, '^
   || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*:(\d+)', 1) IN ('', '80', '443') THEN '' ELSE ':' || regexp_extract(url, '^[a-z]+://[^/?#]*:(\d+)', 1) END
   || CASE WHEN rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') END
   || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical
-  FROM (SELECT page_id, trim(url) AS url, array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'),
-    lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT regexp_matches(regexp_extract(p, '^([^=]*)', 1), '{TRACKING}'))), '&') AS q FROM pages))"""
+  FROM (SELECT page_id, trim(url) AS url, array_to_string(list_transform(list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')),
+    lambda p: {{'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(p[length(split_part(p, '=', 1)) + 2:], '+', ' '))}}), lambda x: NOT regexp_matches(x.k, '{TRACKING}'))),
+    lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS q FROM pages))"""
 TITLES = rf"""(SELECT doc_id, CASE WHEN length(trim(c)) >= 12 THEN trim(c) ELSE t END AS title FROM (SELECT doc_id, t, regexp_replace(t, '\s+[-–—|]\s+[^-–—|]{{2,40}}$', '') AS c
   FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS t FROM documents)))"""
 TOKENS = rf"""(SELECT doc_id, title, list_filter(list_transform(string_split_regex(regexp_replace(replace(replace(lower(title), '’', ''''), '&', ' and '), '[^a-z0-9$%. ]+', ' ', 'g'), ' +'), lambda w: trim(w, '.')),

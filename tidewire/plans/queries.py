@@ -186,7 +186,7 @@ def url_canonical(spark, d):
 
 
 def title_key(spark, d):
-    title = F.element_at(F.split("text", "\n"), 1)
+    title = F.substring_index("text", "\n", 1)
     return b.table(spark, d, "documents").select("doc_id", normalize.without_outlet(title).alias("title"), F.array_join(normalize.title_tokens(title), " ").alias("tokens"), normalize.title_key(title).alias("title_key"))
 
 
@@ -197,7 +197,7 @@ def raw_articles(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(F.split("text", r"\s+"), 1).alias("company_name"),
         F.array("lang").alias("aliases"),
         F.col("doc_id").alias("arrival"),
-        F.substring(F.element_at(F.split("text", "\n"), 1), 1, 200).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("https://www.example.com/a/"), F.substring(F.sha2("text", 256), 1, 16), F.lit("?utm_source=x")).alias("url"),
         F.lit(AS_OF).cast("timestamp").alias("published_at"),
         F.lit(None).cast("string").alias("description"),
@@ -209,7 +209,7 @@ def raw_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def story_clusters(spark, d):
-    return stories.clustered(stories.cleaned(raw_articles(spark, d), AS_OF))
+    return stories.clustered(stories.cleaned(raw_articles(spark, d), AS_OF)).select("short_name", "arrival", "winner")
 
 
 def story_reasons(spark, d):

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from tidewire.functions import normalize
 
 #: Form types whose filings are news.
-MATERIAL = ("8-K", "10-K", "10-Q", "6-K", "20-F", "40-F", "S-1", "S-4", "F-1", "SC 13D", "SC TO", "DEF 14A", "425", "13D")
+MATERIAL = ("8-K", "10-K", "10-Q", "6-K", "20-F", "40-F", "425", "DEF 14A", "DEFM14A", "SC 13D", "SC TO", "S-1", "S-3", "424B")
+#: Meta tags that name a page's image, in the order in which they count.
+IMAGE_TAGS = (("property", "og:image"), ("property", "og:image:secure_url"), ("name", "twitter:image"), ("name", "twitter:image:src"), ("itemprop", "image"))
+#: Pixels of the smallest inline image that counts, and inline images looked at.
+SMALLEST_IMAGE, MOST_IMAGES = 200, 25
+#: Entities of running text.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "pound": "£", "euro": "€", "amp": "&"}
 CHART = "chart struct<result:array<struct<meta:struct<symbol:string,exchangeName:string,currency:string,regularMarketPrice:double,previousClose:double,chartPreviousClose:double>,timestamp:array<bigint>,indicators:struct<quote:array<struct<close:array<double>>>>>>>"
 SEARCH = "news array<struct<title:string,link:string,publisher:string,providerPublishTime:bigint,thumbnail:struct<resolutions:array<struct<url:string,width:int>>>>>"
 
@@ -19,13 +25,25 @@ def stripped(html: Column, most: int | None = None) -> Column:
     return F.substring(text, 1, most) if most else text
 
 
+def unescaped(text: Column) -> Column:
+    """Text with its entities, numeric ones too, as characters; others stay as they are."""
+    point = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+    marked = F.regexp_replace(text, r"&#(x[0-9a-fA-F]{1,5}|[0-9]{1,6});", "\x01$1\x02")
+    number = lambda x: F.substring_index(x, "\x02", 1)
+    read = lambda x: F.when(number(x).startswith("x"), point(F.substring(number(x), 2, 9), 16)).otherwise(point(number(x), 10))
+    out = F.array_join(F.transform(F.split(marked, "\x01"), lambda x: F.when(x.contains("\x02"), F.concat(read(x), F.substring_index(x, "\x02", -1))).otherwise(x)), "")
+    for name, said in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(said))
+    return out
+
+
 def rss_items(payloads: DataFrame, *, most: int = 100, source_type: str = "GOOGLE_NEWS") -> DataFrame:
     """payload_id and payload (RSS) to articles, the first ``most`` items; items without title or link go.
 
     A trailing " - Publisher" that names the publisher is cut from the title. Payloads that are no XML give no rows.
     """
     items = F.slice(F.regexp_extract_all("payload", F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), 1), 1, most)
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), "&lt;", "<"), "&gt;", ">"), "&quot;", '"'), "&#39;|&apos;", "'"), "&amp;", "&"))
+    plain = lambda c: F.trim(unescaped(F.regexp_replace(c, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
     tag = lambda name: plain(F.regexp_extract("item", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1))
     rows = payloads.select("payload_id", F.posexplode(items).alias("ordinal", "item")).select(
         "payload_id", "ordinal", tag("title").alias("title"), tag("link").alias("url"), tag("pubDate").alias("published"), stripped(tag("description"), 600).alias("description"), tag("source").alias("source"), F.regexp_extract("item", r'<source\b[^>]*url="([^"]*)"', 1).alias("source_url")
@@ -60,11 +78,15 @@ def quote_table(payloads: DataFrame, as_of) -> DataFrame:
 
 
 def filings(payloads: DataFrame, company: Column, most: int = 25) -> DataFrame:
-    """Atom entries whose form begins as a material one does; the title names company and form."""
+    """Atom entries whose form begins as a material one does; the title is company, filed, form and the form's name."""
     entries = F.slice(F.regexp_extract_all("payload", F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), 1), 1, most)
-    form = F.upper(F.trim(F.coalesce(F.nullif(F.regexp_extract("entry", r'<category\b[^>]*term="([^"]*)"', 1), F.lit("")), F.regexp_extract("entry", r"(?s)<filing-type>(.*?)</filing-type>", 1))))
-    rows = payloads.select("payload_id", company.alias("company"), F.posexplode(entries).alias("ordinal", "entry")).select("payload_id", "company", "ordinal", form.alias("form"), F.regexp_extract("entry", r'<link\b[^>]*href="([^"]*)"', 1).alias("url"), F.try_to_timestamp(F.regexp_extract("entry", r"(?s)<updated>(.*?)</updated>", 1)).alias("published_at"))
-    return rows.where(F.col("form").rlike("^(?:" + "|".join(MATERIAL) + ")") & (F.col("url") != "")).select("payload_id", "ordinal", F.concat("company", F.lit(" files "), "form").alias("title"), "url", "published_at", F.lit("SEC").alias("source"), F.lit("sec.gov").alias("source_domain"), F.lit("SEC_EDGAR").alias("source_type"))
+    inner = lambda name: F.trim(unescaped(F.regexp_extract("entry", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)))
+    own = payloads.select("payload_id", company.alias("company"), F.posexplode(entries).alias("ordinal", "entry"))
+    link = F.coalesce(F.nullif(inner("filing-href"), F.lit("")), F.regexp_extract("entry", r'<link\b[^>]*href="([^"]*)"', 1))
+    rows = own.select("payload_id", "company", "ordinal", inner("filing-type").alias("form"), inner("form-name").alias("form_name"), link.alias("url"), normalize.parsed_time(inner("filing-date")).alias("published_at"))
+    title = F.concat("company", F.lit(" filed "), "form", F.when(F.col("form_name") != "", F.concat(F.lit(": "), "form_name")).otherwise(""))
+    kept = rows.where(F.upper("form").rlike("^(?:" + "|".join(MATERIAL) + ")") & (F.col("url") != ""))
+    return kept.select("payload_id", "ordinal", title.alias("title"), "url", "published_at", F.nullif("form_name", F.lit("")).alias("description"), F.lit("SEC EDGAR").alias("source"), F.lit("sec.gov").alias("source_domain"), F.lit("SEC_EDGAR").alias("source_type"))
 
 
 def chart_quotes(payloads: DataFrame) -> DataFrame:
@@ -97,9 +119,34 @@ def progress(lines: DataFrame, schema: str, key: str) -> DataFrame:
     return rows.groupBy(F.col(f"r.{key}").alias("__key")).agg(F.max_by("r", "line_no").alias("r")).select("r.*")
 
 
-def page_image(html: Column) -> Column:
-    """A named meta image, else the first inline one that is neither SVG, data nor stated to be under 200 pixels."""
-    meta = [F.nullif(F.regexp_extract(html, rf'(?is)<meta\b[^>]*(?:property|name)="{n}"[^>]*content="([^"]*)"', 1), F.lit("")) for n in ("og:image", "og:image:url", "twitter:image", "twitter:image:src")]
-    images = F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), 1)
-    fit = F.filter(images, lambda i: i.rlike(r'(?i)src="(?!data:)[^"]+"') & ~i.rlike(r'(?i)src="[^"]*\.svg') & ~i.rlike(r'(?i)(?:width|height)="?(?:1?\d?\d)(?!\d)'))
-    return F.coalesce(*meta, F.nullif(F.regexp_extract(F.get(fit, F.lit(0)), r'(?i)src="([^"]+)"', 1), F.lit("")))
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, between quotes of either kind or bare; null without it."""
+    found = F.regexp_extract_all(tag, F.lit(rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
+    return unescaped(F.regexp_replace(F.get(found, F.lit(0)), "^[\"']|[\"']$", ""))
+
+
+def joined_url(base: Column, url: Column) -> Column:
+    """A URL as it is meant on a page of the base's: absolute, of its scheme, of its host, or of its folder."""
+    origin, folder = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
+    under = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), url)).when(url.startswith("/"), F.concat(origin, url)).otherwise(F.concat(under, F.regexp_replace(url, r"^\./", "")))
+
+
+def page_image(html: Column, base: Column) -> Column:
+    """The first meta image, by IMAGE_TAGS, that is no SVG; else the first inline one of MOST_IMAGES that is neither
+    SVG nor data nor stated to be too small. Absolute by the page's own URL ``base``."""
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
+    fit = lambda url: F.when((F.trim(url) != "") & ~F.trim(url).endswith(".svg"), F.trim(url))
+    tagged = lambda name, value: F.get(F.filter(metas, lambda m: attribute(m, name) == value), F.lit(0))
+    named = [fit(attribute(tagged(name, value), "content")) for name, value in IMAGE_TAGS]
+    small = lambda i, name: F.coalesce(F.try_to_number(F.regexp_extract(F.trim(attribute(i, name)), r"^(\d{1,9})(?:px)*$", 1), F.lit("999999999")) < SMALLEST_IMAGE, F.lit(False))
+    images = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), 1), 1, MOST_IMAGES)
+    source = lambda i: F.coalesce(F.nullif(attribute(i, "src"), F.lit("")), attribute(i, "data-src"))
+    inline = F.get(F.filter(F.transform(F.filter(images, lambda i: ~small(i, "width") & ~small(i, "height")), source), lambda u: fit(u).isNotNull() & ~u.startswith("data:")), F.lit(0))
+    return joined_url(base, F.coalesce(*named, F.trim(inline)))
+
+
+def image_backfill(backlog: DataFrame, pages: DataFrame) -> DataFrame:
+    """Id and image of the backlog's articles (id, url) whose landed page (url, html) has one."""
+    met = backlog.select("id", "url").join(pages.select("url", "html"), "url")
+    return met.select("id", page_image(F.col("html"), F.col("url")).alias("image")).where("image IS NOT NULL")

@@ -26,7 +26,7 @@ def first_by_url(articles: DataFrame, delay: str = HORIZON) -> DataFrame:
 
 
 def changed_quotes(quotes: DataFrame) -> DataFrame:
-    """A quote only when its close differs from the last one kept; short_name, ts and close."""
+    """A quote only when its close differs from the last one kept; short_name, ts and close. Quotes without a close are no quotes."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("ts")
@@ -40,7 +40,7 @@ def changed_quotes(quotes: DataFrame) -> DataFrame:
         yield pd.DataFrame(kept, columns=["short_name", "ts", "close"])
 
     shape = "short_name string, ts timestamp, close double"
-    return quotes.select("short_name", "ts", "close").groupBy("short_name").applyInPandasWithState(keep, shape, "last double", "append", GroupStateTimeout.NoTimeout)
+    return quotes.select("short_name", "ts", "close").where("close IS NOT NULL AND NOT isnan(close)").groupBy("short_name").applyInPandasWithState(keep, shape, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(articles: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
