@@ -4,15 +4,15 @@ A document's set holds its distinct five-word shingles. Documents of equal sets
 independent trees branches the sets by selected minwise tokens: a node's sets that share the token of the selected
 coordinate go to the same child. Nodes of at most ``LEAF`` sets are compared exhaustively. A larger node branches again;
 a node that hardly shrinks by branching is dense, that is, most of its sets are alike: its sets are dealt to blocks, each
-block is compared with a few pivots and within itself, and what isn't linked to the first pivot is compared with every
-block. So no node is dropped or cut, and no task holds more than a few blocks. Links are confirmed on full sets; a
+block is compared with a few pivots from the middle of the node and within itself, and what isn't linked to the first pivot
+is compared with every block. So no node is dropped or cut, and no task holds more than a few blocks. Links are confirmed on full sets; a
 comparison is skipped only where both sets are already in one component. Components come from alternating large and
 small stars over written edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -157,6 +157,43 @@ def linked(a: np.ndarray, b: np.ndarray, link: tuple[int, int]) -> bool:
     return link[1] * same >= link[0] * (small + large - same)
 
 
+#: Shared shingles of a block that are compared by a matrix product; with more, pair by pair.
+MOST_SHARED = 1 << 16
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray | None:
+    """The intersection size of each pair of sets: a product of the sets' incidence with the shingles that two or more have.
+
+    None where these are more than MOST_SHARED.
+    """
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    if shared.sum() > MOST_SHARED:
+        return None
+    some = shared[which]
+    column, row = (np.cumsum(shared) - 1)[which[some]], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[some]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        inside = (column >= at) & (column < at + 4096)
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[inside], column[inside] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def linked_pairs(sets: list[np.ndarray], link: tuple[int, int], apart: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Pairs (i > j) of sets that are linked; pair by pair, those of unlike sizes, or not ``apart`` any more, are not compared."""
+    sizes = np.array([len(s) for s in sets])
+    same = overlaps(sets) if len(sets) > 8 else None
+    if same is not None:
+        fits = np.tril(link[1] * same >= link[0] * (sizes[:, None] + sizes - same), -1)
+        yield from zip(*(x.tolist() for x in np.nonzero(fits)), strict=True)
+        return
+    for i in range(len(sets)):
+        fits = np.flatnonzero((link[1] * sizes[:i] >= link[0] * sizes[i]) & (link[1] * sizes[i] >= link[0] * sizes[:i]))
+        yield from ((i, j) for j in fits.tolist() if apart(i, j) and linked(sets[i], sets[j], link))
+
+
 class Components:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -188,15 +225,10 @@ def confirm(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterato
         if (roles == 1).any():  # a pivot is a set of its own block too
             first = sorted({(x, s.tobytes()): i for i, (x, s) in reversed(list(enumerate(zip(reps.tolist(), sets, strict=True))))}.values())
             reps, roles, sets = reps[first], roles[first], [sets[i] for i in first]
-        sizes = np.array([len(s) for s in sets])
         tree = Components(len(sets))
-        for i in range(len(sets)):
-            fits = np.flatnonzero((link[1] * sizes[:i] >= link[0] * sizes[i]) & (link[1] * sizes[i] >= link[0] * sizes[:i]))
-            for j in fits.tolist():
-                if roles[i] == 2 and roles[j] == 2:
-                    continue
-                if tree.find(i) != tree.find(j) and linked(sets[i], sets[j], link):
-                    tree.join(i, j)
+        for i, j in linked_pairs(sets, link, lambda i, j: tree.find(i) != tree.find(j)):
+            if roles[i] != 2 or roles[j] != 2:
+                tree.join(i, j)
         roots = np.array([tree.find(i) for i in range(len(sets))])
         low: dict[int, int] = {}
         for r, x in zip(roots.tolist(), reps.tolist(), strict=True):
@@ -241,12 +273,25 @@ def child(path: Column, way: Column, level: int) -> Column:
     return F.xxhash64(path, way, F.get("mins", coordinate))
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """The number of tokens by which two sketches agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
 def density(members: DataFrame) -> DataFrame:
-    """path and the mean similarity, by their tokens, of SAMPLED of its sets to one another: an aggregate, so no set meets another here."""
+    """path, samples (the tokens of SAMPLED of its sets) and their mean similarity to one another: an aggregate, so no set meets another here."""
     picked = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), F.col("mins"))).alias(f"p{i}") for i in range(SAMPLED)]
     pairs = [(i, j) for i in range(SAMPLED) for j in range(i)]
-    alike = [F.aggregate(F.zip_with(f"p{i}.mins", f"p{j}.mins", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x) for i, j in pairs]
-    return members.groupBy("path").agg(*picked).select("path", (sum(alike) / (len(pairs) * TOKENS)).alias("mean"))
+    mean = sum(agreeing(F.col(f"p{i}.mins"), F.col(f"p{j}.mins")) for i, j in pairs) / (len(pairs) * TOKENS)
+    return members.groupBy("path").agg(*picked).select("path", mean.alias("mean"), F.array(*(F.col(f"p{i}.mins") for i in range(SAMPLED))).alias("samples"))
+
+
+def judged(members: DataFrame, level: int) -> DataFrame:
+    """path, rep, size, mean (of the node), score (agreement with the node's samples: high at its middle) and, unless the node is dense, the paths of its children."""
+    met = salted_join(members, density(members), ["path"], F.col("rep"))
+    score = F.aggregate(F.transform("samples", lambda s: agreeing(s, F.col("mins"))), F.lit(0), lambda n, x: n + x)
+    ways = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: child(F.col("path"), w, level))
+    return pinned(met.select("path", "rep", "size", "mean", score.alias("score"), F.when(F.col("mean") < DENSE, ways).alias("ways")))
 
 
 def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -262,13 +307,11 @@ def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> D
         if large.isEmpty():
             break
         if level == DEPTH:
-            dense.append(large)
+            dense.append(large.withColumn("score", F.lit(0)))
             break
-        with_tokens = pinned(large.join(sketches, "rep"))
-        judged = salted_join(with_tokens, density(with_tokens), ["path"], F.col("rep"))
-        dense.append(judged.where(F.col("mean") >= DENSE).select("path", "rep", "size"))
-        ways = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: child(F.col("path"), w, level)))
-        nodes = pinned(sized(judged.where(F.col("mean") < DENSE).select("rep", ways.alias("path"))))
+        told = judged(pinned(large.join(sketches, "rep")), level)
+        dense.append(told.where("ways IS NULL").select("path", "rep", "size", "score"))
+        nodes = pinned(sized(told.where("ways IS NOT NULL").select("rep", F.explode("ways").alias("path"))))
         leaves.append(nodes.where(F.col("size") <= LEAF).select("path", F.lit(TREES).alias("tree"), "rep"))
         large = nodes.where(F.col("size") > LEAF).select("path", "rep", "size")
     small = leaves[0]
@@ -284,12 +327,11 @@ def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> D
             crowded = crowded.unionByName(x)
         if not crowded.isEmpty():
             n_blocks = F.ceil(F.col("size") / LEAF).cast("int")
-            blocks = pinned(crowded.select("path", F.pmod(F.xxhash64("path", "rep"), n_blocks).cast("int").alias("block"), n_blocks.alias("n_blocks"), "rep"))
-            first = blocks.groupBy("path", "n_blocks").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rep"), F.col("n_blocks")) == 0, F.col("rep")))).alias("few"), F.min("rep").alias("least"))
-            pivots = (
-                first.select("path", "n_blocks", F.explode(F.array_distinct(F.concat(F.array("least"), F.slice("few", 1, PIVOTS)))).alias("rep"))
-                .select("path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
-            )
+            blocks = pinned(crowded.select("path", F.pmod(F.xxhash64("path", "rep"), n_blocks).cast("int").alias("block"), n_blocks.alias("n_blocks"), "rep", "score"))
+            # what a node's copies were made from is linked with most of them: likely its earliest set, or one of those nearest to its middle
+            best = blocks.groupBy("path", "n_blocks", F.pmod("block", F.lit(PIVOTS)).alias("slot")).agg(F.max(F.struct("score", "rep")).alias("x"), F.min("rep").alias("least"))
+            few = best.groupBy("path", "n_blocks").agg(F.array_union(F.array(F.min("least")), F.collect_set("x.rep")).alias("few"))
+            pivots = few.select("path", "n_blocks", F.explode("few").alias("rep")).select("path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
             wanted = wanted.unionByName(blocks.select("path", "block", F.lit(0).alias("role"), "rep")).unionByName(pivots.select("path", "block", F.lit(1).alias("role"), "rep"))
     wanted = pinned(wanted)
     sets = sets_for(documents, known.select("rep", "low", "set_a", "set_b").join(wanted.select("rep").distinct(), "rep"))  # of every set that is compared at all, so later comparisons find theirs
@@ -337,7 +379,9 @@ def grouped(source: DataFrame, link: tuple[int, int], *, by_id: bool) -> tuple[D
     rows = pinned(source.mapInArrow(sketch, ROWS))
     whole = rows.where("n_shingles > 0 and doc_id is not null")
     least = whole.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "mins")).alias("x"))
-    known = pinned(least.select("set_a", "set_b", F.col("x.doc_id").alias("low"), F.col("x.mins").alias("mins"), F.monotonically_increasing_id().alias("rep")))
+    known = pinned(least.select("set_a", "set_b", F.col("x.doc_id").alias("low"), F.col("x.mins").alias("mins"), F.col("x.doc_id").alias("rep")))
+    if not known.groupBy("low").count().where("count > 1").isEmpty():  # sets that share their smallest doc_id get numbers in its order
+        known = pinned(known.orderBy("low", "set_a", "set_b").withColumn("rep", F.monotonically_increasing_id()))
     edges = edges_of(source.where("doc_id is not null"), known, link)
     if by_id:
         several = whole.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).where("x != y").select(F.col("doc_id").alias("id"))
