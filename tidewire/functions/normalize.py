@@ -159,7 +159,7 @@ def age_bucket(ts: Column, as_of: Column) -> Column:
 
 
 #: Signs of currencies.
-CURRENCY_SIGNS = {"USD": "$", "GBP": "£", "EUR": "€"}
+CURRENCY_SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "CHF": "CHF ", "JPY": "¥", "CAD": "CA$", "AUD": "A$", "SEK": "kr ", "NOK": "kr ", "DKK": "kr "}
 NOTHING = "—"
 
 
