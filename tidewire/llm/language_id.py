@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,15 +25,19 @@ BITS = np.int64(21)
 
 
 @cache
-def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, whether it is a letter, and whether it is one or a mark that belongs to one, such as a vowel sign."""
+    alone = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return alone, alone | np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of the 1-, 2- and 3-grams of the lower-cased letters; each word is padded on both sides."""
+    """Codes of the 1-, 2- and 3-grams of the lower-cased letters and their marks; each word is padded on both sides. None without a letter."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points[~letters()[points]] = PAD
+    letter, part = letters()
+    if not letter[points].any():
+        return points[:0]
+    points[~part[points]] = PAD
     points = points[np.concatenate([[True], (points[1:] != PAD) | (points[:-1] != PAD)])]
     one = points[points != PAD]
     two = (points[:-1] << BITS) | points[1:]
@@ -59,23 +64,28 @@ def ranked(codes: np.ndarray) -> np.ndarray:
 
 
 class Profiles:
-    """Rank of each n-gram in each language's profile."""
+    """Rank of each n-gram in each language's profile: PROFILE entries a language, by n-gram."""
 
     def __init__(self, by_language: dict[str, list[int]]) -> None:
         self.languages = sorted(by_language)
-        self.codes = np.unique(np.array([c for x in by_language.values() for c in x], np.int64))
-        self.ranks = np.full((len(self.codes), len(self.languages)), PROFILE, np.int64)
-        for k, name in enumerate(self.languages):
-            self.ranks[np.searchsorted(self.codes, by_language[name]), k] = np.arange(len(by_language[name]))
+        codes = np.array([c for name in self.languages for c in by_language[name]], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, starts = np.unique(codes[order], return_index=True)
+        self.starts = np.append(starts, len(codes))
+        self.language = np.repeat(np.arange(len(self.languages)), [len(by_language[name]) for name in self.languages])[order].astype(np.int32)
+        self.rank = np.concatenate([np.arange(len(by_language[name])) for name in self.languages] or [np.zeros(0, np.int64)])[order].astype(np.int32)
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The language of least out-of-place distance, the first by name among equals, and one less the share of the largest distance."""
         own = ranked(grams(text)) if text else ()
-        if not len(own) or not self.languages:
+        if not len(own) or not len(self.codes):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        ranks = np.where((self.codes[at] == own)[:, None], self.ranks[at], PROFILE)
-        apart = np.where(ranks < PROFILE, np.abs(ranks - np.arange(len(own))[:, None]), PROFILE).sum(axis=0)
+        place = np.flatnonzero(self.codes[at] == own)
+        first, counts = self.starts[at[place]], np.diff(self.starts)[at[place]]
+        entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+        closer = PROFILE - np.abs(self.rank[entry] - np.repeat(place, counts))  # an n-gram that a profile lacks is PROFILE out of place
+        apart = PROFILE * len(own) - np.bincount(self.language[entry], closer, len(self.languages))
         best = int(apart.argmin())
         return self.languages[best], float(1 - apart[best] / (PROFILE * len(own)))
 
@@ -143,7 +153,11 @@ def language_report(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, *, least_score: float = 0.0) -> DataFrame:
-    """Documents in a learned language, with all their columns: no language and scores below ``least_score`` go."""
+    """Documents in a learned language, with all their columns: no language and scores below ``least_score`` go.
+
+    Null texts and texts without a letter have no language, nor has any where nothing can be learned. Repeated rows stay or go
+    alike; ties fall to the first language by name; an empty table stays empty.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(learned(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
