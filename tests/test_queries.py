@@ -41,6 +41,20 @@ def test_equals_sql(spark, duck, name):
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
 
 
+def test_diversify_equals_a_walk(spark):
+    """SQL has no such fold: the page is walked here row by row."""
+    from tidewire.operators import feed
+    from tidewire.plans import bindings, queries
+
+    page = feed.page(bindings.news(spark, SF), since=queries.SINCE, limit=40).select("id", "source", "short_name").collect()
+    want, sources, symbols = [], {}, {}
+    for r in page:
+        if len(want) < 14 and sources.get(r.source, 0) < 2 and symbols.get(r.short_name, 0) < 3:
+            want.append(r.id)
+            sources[r.source], symbols[r.short_name] = sources.get(r.source, 0) + 1, symbols.get(r.short_name, 0) + 1
+    assert [r.id for r in QUERIES["diversify"](spark, SF).orderBy("pos").collect()] == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
