@@ -157,41 +157,38 @@ def linked(a: np.ndarray, b: np.ndarray, link: tuple[int, int]) -> bool:
     return link[1] * same >= link[0] * (small + large - same)
 
 
-#: Shared shingles of a block that are compared by a matrix product; with more, pair by pair.
-MOST_SHARED = 1 << 16
+#: Shingles of a block's sets in all that are compared by a matrix product, and columns of a product; a block of more goes pair by pair.
+MOST_SHINGLES, COLUMNS = 1 << 19, 1024
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray | None:
-    """The intersection size of each pair of sets: a product of the sets' incidence with the shingles that two or more have.
-
-    None where these are more than MOST_SHARED.
-    """
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The intersection size of each pair of sets: a product of the sets' incidence with the shingles that two or more have."""
     _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = counts > 1
-    if shared.sum() > MOST_SHARED:
-        return None
     some = shared[which]
-    column, row = (np.cumsum(shared) - 1)[which[some]], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[some]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared.sum()), 4096):
-        inside = (column >= at) & (column < at + 4096)
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[inside], column[inside] - at] = 1
+    column, row = (np.cumsum(shared, dtype=np.int32) - 1)[which[some]], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[some]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out, part = np.zeros((len(sets), len(sets)), np.float32), np.zeros((len(sets), COLUMNS), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part[row[a:b], column[a:b] - at] = 1
         out += part @ part.T
-    return out.astype(np.int64)
+        part[row[a:b], column[a:b] - at] = 0
+    return out
 
 
 def linked_pairs(sets: list[np.ndarray], link: tuple[int, int], apart: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
     """Pairs (i > j) of sets that are linked; pair by pair, those of unlike sizes, or not ``apart`` any more, are not compared."""
     sizes = np.array([len(s) for s in sets])
-    same = overlaps(sets) if len(sets) > 8 else None
-    if same is not None:
-        fits = np.tril(link[1] * same >= link[0] * (sizes[:, None] + sizes - same), -1)
-        yield from zip(*(x.tolist() for x in np.nonzero(fits)), strict=True)
-        return
+    same = overlaps(sets) if len(sets) > 8 and sizes.sum() <= MOST_SHINGLES else None
     for i in range(len(sets)):
-        fits = np.flatnonzero((link[1] * sizes[:i] >= link[0] * sizes[i]) & (link[1] * sizes[i] >= link[0] * sizes[:i]))
-        yield from ((i, j) for j in fits.tolist() if apart(i, j) and linked(sets[i], sets[j], link))
+        if same is not None:
+            own = same[i, :i].astype(np.int64)
+            yield from ((i, j) for j in np.flatnonzero(link[1] * own >= link[0] * (sizes[i] + sizes[:i] - own)).tolist())
+        else:
+            fits = np.flatnonzero((link[1] * sizes[:i] >= link[0] * sizes[i]) & (link[1] * sizes[i] >= link[0] * sizes[:i]))
+            yield from ((i, j) for j in fits.tolist() if apart(i, j) and linked(sets[i], sets[j], link))
 
 
 class Components:
@@ -255,8 +252,9 @@ def sets_for(documents: DataFrame, reps: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], ["rep", "set"])
 
-    found = documents.join(reps, documents.doc_id == F.col("low")).select("rep", "set_a", "set_b", "text")
-    return pinned(found.mapInArrow(make, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set")))
+    found = documents.join(reps, documents.doc_id == F.col("low")).select("low", "rep", "set_a", "set_b", "text", F.xxhash64("text").alias("hash"))
+    # repeated rows are one; the join has dealt them by doc_id already
+    return pinned(found.dropDuplicates(["low", "rep", "hash"]).mapInArrow(make, "rep long, set binary"))
 
 
 def confirmed(sets: DataFrame, wanted: DataFrame, link: tuple[int, int]) -> DataFrame:
