@@ -29,7 +29,11 @@ def lines_of(text: Column) -> Column:
 
 
 def words_in(line: Column) -> Column:
-    return F.when(F.octet_length(line) == F.length(line), F.regexp_count(line, F.lit(r"\S+"))).otherwise(F.regexp_count(line, F.lit(WORD)))
+    """Words of a line: its blanks and one where single blanks part them and every script is written with blanks, else by WORD."""
+    plain = F.trim(F.translate(line, "\t\x0b\f\r", "    "))
+    spaced = (F.octet_length(line) == F.length(line)) | ~line.rlike(f"[{UNSPACED}]")
+    parted = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
+    return F.when(spaced & ~plain.contains("  "), parted).otherwise(F.regexp_count(line, F.lit(WORD)))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
