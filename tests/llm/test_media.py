@@ -57,3 +57,19 @@ def test_round_trip(spark):
         assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media.wav(payload)).hexdigest())
     assert rows[2].feature == rows[8].feature
     assert media.media_report(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_whole_pdf_and_mp4():
+    import struct
+
+    first = b"%PDF-1.7\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF\n"
+    update = b"2 0 obj\n<<>>\nendobj\nxref\ntrailer\nstartxref\n60\n%%EOF"
+    assert media.whole_pdf(b"xx" + first + update + b"\nrest", 2) == len(first + update)  # an updated or linearised file
+    assert media.whole_pdf(first + b"no section %%EOF", 0) == len(first) - 1
+    assert media.whole_pdf(first + first + update, 0) == len(first) - 1  # the next file is its own
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    large = struct.pack(">I4sQ", 1, b"mdat", 16 + 40) + b"m" * 40
+    head = box(b"ftyp", b"isom0000")
+    assert media.whole_mp4(head + large + b"tail????", 0) == len(head + large)
+    assert media.whole_mp4(head + struct.pack(">I4s", 0, b"mdat") + b"x" * 50, 0) == len(head) + 58
+    assert media.whole_mp4(head + struct.pack(">I4sQ", 1, b"mdat", 3), 0) == 0

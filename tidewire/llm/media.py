@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -147,19 +148,33 @@ def whole_ogg(b: bytes, at: int) -> int:
     return 0
 
 
+#: What begins a further section of a PDF file behind an end mark: an object, a cross-reference table, a trailer.
+PDF_SECTION = re.compile(rb"[\x00\t\n\f\r ]*(?:[0-9]+[\t\n\f\r ]+[0-9]+[\t\n\f\r ]+obj\b|xref\b|trailer\b|startxref\b)")
+
+
 def whole_pdf(b: bytes, at: int) -> int:
-    """A version, a cross-reference pointer and the end mark after it."""
-    if not b[at + 5 : at + 6].isdigit() or (xref := b.find(b"startxref", at)) < 0:
+    """A version, a cross-reference pointer and the end mark after it; further sections, of updates or of a linearised file, belong to it."""
+    if not b[at + 5 : at + 6].isdigit():
         return 0
-    end = b.find(b"%%EOF", xref)
-    return end + 5 - at if end >= 0 else 0
+    upto, pos, end = b.find(b"%PDF-", at + 5), at, -1
+    upto = len(b) if upto < 0 else upto
+    while (xref := b.find(b"startxref", pos, upto)) >= 0 and (mark := b.find(b"%%EOF", xref, upto)) >= 0:
+        end = pos = mark + 5
+        if not PDF_SECTION.match(b, pos, upto):
+            break
+    return end - at if end >= 0 else 0
 
 
 def whole_mp4(b: bytes, at: int) -> int:
-    """Boxes end to end, one of them moov or mdat."""
+    """Boxes end to end, one of them moov or mdat; a size of 1 is followed by one of 64 bits, a size of 0 goes to the end."""
     pos, seen = at, set()
     while at >= 0 and pos + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, pos)
+        if size == 1 and pos + 16 <= len(b):
+            size = struct.unpack_from(">Q", b, pos + 8)[0]
+            size = size if size >= 16 else 0
+        elif size == 0 and pos > at:
+            size = len(b) - pos
         if size < 8 or pos + size > len(b) or not kind.isalnum():
             break
         seen.add(kind)
