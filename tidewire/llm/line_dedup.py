@@ -29,11 +29,7 @@ def lines_of(text: Column) -> Column:
 
 
 def words_in(line: Column) -> Column:
-    """Words of a line: its blanks and one where single blanks part them and every script is written with blanks, else by WORD."""
-    plain = F.trim(F.translate(line, "\t\x0b\f\r", "    "))
-    spaced = (F.octet_length(line) == F.length(line)) | ~line.rlike(f"[{UNSPACED}]")
-    parted = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-    return F.when(spaced & ~plain.contains("  "), parted).otherwise(F.regexp_count(line, F.lit(WORD)))
+    return F.when(F.octet_length(line) == F.length(line), F.regexp_count(line, F.lit(r"\S+"))).otherwise(F.regexp_count(line, F.lit(WORD)))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -78,7 +74,8 @@ def fingerprints(rows: DataFrame, long_words: int | None) -> DataFrame:
 
 def matches(rows: DataFrame, long_words: int | None = None) -> DataFrame:
     """__key, from and size (places among the non-blank lines) of each run with an earlier copy."""
-    shared = with_totals(fingerprints(rows, long_words), ["print"], F.struct("__key", "at"), {"copies": ("sum", F.lit(1))}, F.col("copies") > 1)
+    selected = pinned(fingerprints(rows, long_words))  # so that texts are read once
+    shared = with_totals(selected, ["print"], F.struct("__key", "at"), {"copies": ("sum", F.lit(1))}, F.col("copies") > 1)
     runs = pinned(shared.select("__key", "print", F.explode("units").alias("u")).select("__key", "print", "u.*"))
     place = F.struct("__key", "from")
     compared = with_totals(runs, ["print", "key", "size"], place, {"first": ("min", place), "last": ("max", place)}, F.col("first") < F.col("last"))
