@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tidewire.llm import chat, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, secrets, substring_dedup
+from tidewire.llm import chat, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, secrets, structure_repair, substring_dedup, target_sampling
 from tidewire.llm.common import table
 
 
@@ -50,4 +50,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.span_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_decontaminate, op4_license_scan, op5_chat_format, op6_media, op7_line_dedup, op8_language_id, op9_mixing, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_decontaminate, op4_license_scan, op5_chat_format, op6_media, op7_line_dedup, op8_language_id, op9_mixing, op10_substring_dedup, op11_structure_repair, op12_target_sampling, op13_pii)} | {"pipeline": corpus_pipeline.run}
