@@ -1,6 +1,7 @@
 import corpus_pipeline
+import duckdb
 from conftest_llm import documents, prose
-from tidewire.llm import line_dedup
+from tidewire.llm import line_dedup, sql
 
 
 def expected(ids, texts):
@@ -64,3 +65,14 @@ def test_runs_of_three_with_long_words(spark, rng):
     docs = documents(spark, texts)
     texts_of = lambda df: [r.text for r in df.orderBy("doc_id").collect()]
     assert texts_of(line_dedup.deduplicated(docs, long_words=70)) == texts_of(line_dedup.deduplicated(docs))
+
+
+def test_blank_lines_hold_ascii_blanks_only(spark):
+    """Lines that end with a carriage return: blank ones are no run; a no-break space is text."""
+    texts = ["first\r\n\r\n\r\n\r\nother", "second\r\n\r\n\r\n\r\nlast", "\t\n \x0b\n\x0c\n\r", "\t\n \x0b\n\x0c\n\r", "a\r\nb\r\nc\r", "x\r\n\r\na\r\nb\r\nc\r", " \n \n ", " \n \n "]
+    kept = [r.text for r in line_dedup.deduplicated(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert kept == [*texts[:5], "x\r\n\r", texts[6], ""]
+    con = duckdb.connect()
+    con.register("documents", documents(spark, texts).toArrow())
+    want = con.execute(f"SELECT doc_id, n_lines, n_removed, kept_chars, kept_sha256 FROM ({sql.ORACLES['op7_line_dedup']})").fetchall()
+    assert sorted(map(tuple, line_dedup.line_report(documents(spark, texts)).collect())) == sorted(want)

@@ -50,6 +50,22 @@ def cleared(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def wrapped(documents: DataFrame, *apart: str) -> DataFrame:
+    """``row``, a struct of all columns but those ``apart``, and these beside it: no name of the caller's can clash with an operator's."""
+    own = [quoted(c) for c in documents.columns if c not in apart]
+    return documents.select((F.struct(*own) if own else F.lit(None).cast("int")).alias("row"), *apart)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns of rows that ``wrapped`` made, in their order."""
+    return rows.select(*(F.col(c) if c in apart else F.col("row")[c].alias(c) for c in columns))
+
+
+def quoted(name: str) -> Column:
+    """A column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Parts into which the rows of one key are dealt before anything gathers them.
 SALTS = 32
 
@@ -126,9 +142,22 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         at = to
 
 
-def words_of(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Characters of scripts that are written without blanks, and their punctuation, from one to another; each can be a word of its own.
+UNSPACED = ((0x3001, 0x3002), (0xFF01, 0xFF1F), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 bytes of UNSPACED characters begin."""
+    lead = np.flatnonzero(data >= 0xE0)
+    long = data[lead] >= 0xF0
+    follow = [(data[np.minimum(lead + k, len(data) - 1)] & 0x3F).astype(np.int64) for k in (1, 2, 3)]
+    code = np.where(long, (data[lead] & 7).astype(np.int64) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2], (data[lead] & 15).astype(np.int64) << 12 | follow[0] << 6 | follow[1])
+    return lead[np.logical_or.reduce([(code >= a) & (code <= z) for a, z in UNSPACED])]
+
+
+def words_of(texts: pa.Array, keep: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each ASCII-lower-cased word of all texts; where each text's words begin (and the last's end); where
-    each word's bytes begin and end."""
+    each word's bytes begin and end. With ``apart``, an UNSPACED character is a word."""
     data, offsets = text_bytes(texts)
     none = np.zeros(0, np.int64)
     if not len(data):
@@ -138,6 +167,11 @@ def words_of(texts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] = inside[heads]
+    if apart and len(alone := unspaced(data)):
+        begins[alone] = True
+        after = alone + np.where(data[alone] >= 0xF0, 4, 3)
+        after = after[after < len(data)]
+        begins[after] |= inside[after]
     starts = np.flatnonzero(begins)
     if not len(starts):
         return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none

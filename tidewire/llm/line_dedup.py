@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import pinned, with_totals
+from tidewire.llm.common import pinned, unwrapped, with_totals, wrapped
 
 #: Non-blank lines in a window, the shortest run that is deleted.
 RUN = 3
+#: What a blank line holds, if anything.
+BLANKS = " \t\n\x0b\f\r"
 #: A word: a run of characters that are not blank, or one character of a script that is written without blanks.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
@@ -39,7 +41,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def solid_lines(text: Column, more: dict | None = None) -> Column:
     """The non-blank lines: line number, and what ``more`` computes of each."""
-    each = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("line"), (F.trim(x) == "").alias("blank"), *(f(x).alias(n) for n, f in (more or {}).items())))
+    each = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("line"), (F.trim(x, F.lit(BLANKS)) == "").alias("blank"), *(f(x).alias(n) for n, f in (more or {}).items())))
     return F.filter(each, lambda x: ~x["blank"])
 
 
@@ -83,35 +85,38 @@ def matches(rows: DataFrame, long_words: int | None = None) -> DataFrame:
 
 
 def edited(documents: DataFrame, long_words: int | None = None) -> DataFrame:
-    """All rows and columns, text without later copies of runs, and ``__lines``, ``__removed``, the counts of lines."""
-    rows = keyed(documents)
-    runs = matches(rows, long_words).groupBy("__key").agg(F.collect_set(F.struct("from", "size")).alias("__runs"))
-    # only these texts go over the network with their line numbers; the join keeps a repeated row as often as it comes
-    met = rows.join(runs.withColumnRenamed("__key", "__other"), rows["__key"] == F.col("__other"), "left").drop("__other")
-    solid = met.withColumn("__solid", F.when(F.col("__runs").isNotNull(), F.transform(solid_lines(F.col("text")), lambda x: x["line"])))
-    joined = solid.withColumn("__gone", F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.slice("__solid", r["from"] + 1, r["size"]))))).drop("__runs", "__solid")
+    """The rows as ``wrapped`` makes them, text (without later copies of runs) apart, and ``lines`` and ``removed``, the counts of lines."""
+    rows = keyed(wrapped(documents, "text").withColumn("doc_id", F.col("row.doc_id")))
+    runs = matches(rows, long_words).groupBy("__key").agg(F.collect_set(F.struct("from", "size")).alias("runs")).withColumnRenamed("__key", "other")
+    # the join keeps a repeated row as often as it comes
+    met = rows.join(runs, rows["__key"] == F.col("other"), "left")
+    solid = met.withColumn("solid", F.when(F.col("runs").isNotNull(), F.transform(solid_lines(F.col("text")), lambda x: x["line"])))
+    joined = solid.withColumn("gone", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice("solid", r["from"] + 1, r["size"])))))
     # one sort puts each line number that goes before its line: linear, however many lines there are
-    tagged = F.array_sort(F.concat(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("tag"), x.alias("line"))), F.transform("__gone", lambda i: F.struct(i.alias("i"), F.lit(0).alias("tag"), F.lit(None).cast("string").alias("line")))))
-    sorted_rows = joined.withColumn("__tagged", F.when(F.col("__gone").isNotNull(), tagged))
-    kept = F.filter("__tagged", lambda x, j: (x["tag"] == 1) & ~F.coalesce(F.get("__tagged", j - 1)["i"] == x["i"], F.lit(False)))
-    return sorted_rows.withColumns(
-        {
-            "text": F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col("text")),
-            "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long"),
-            "__removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        }
-    ).drop("__key", "__gone", "__tagged")
-
-
-def deduplicated(documents: DataFrame, long_words: int | None = None) -> DataFrame:
-    """The documents with later copies of runs of three or more non-blank lines deleted; all rows and columns stay.
-
-    With ``long_words``, later copies of one or two consecutive non-blank lines of over so many words go too.
-    The first copy, by doc_id (nulls last) and line, stays; copies within one document count. Blank lines neither make a
-    run nor break it and stay. Null and empty texts stay as they are; very long ones are edited whole; an empty table stays empty. Equal rows (same doc_id and text) are edited alike and
-    are not copies of each other.
+    tagged = F.array_sort(F.concat(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("tag"), x.alias("line"))), F.transform("gone", lambda i: F.struct(i.alias("i"), F.lit(0).alias("tag"), F.lit(None).cast("string").alias("line")))))
+    sorted_rows = joined.withColumn("tagged", F.when(F.col("gone").isNotNull(), tagged))
+    kept = F.filter("tagged", lambda x, j: (x["tag"] == 1) & ~F.coalesce(F.get("tagged", j - 1)["i"] == x["i"], F.lit(False)))
+    return sorted_rows.select(
+        "row",
+        "doc_id",
+        F.when(F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long").alias("lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"),
+    )
+
+
+def deduplicated(documents: DataFrame, long_words: int | None = None, *, emptied: bool = True) -> DataFrame:
+    """The documents with later copies of runs of three or more non-blank lines deleted; all rows and columns stay, whatever their names.
+
+    With ``long_words``, later copies of one or two consecutive non-blank lines of over so many words go too. Unless
+    ``emptied``, texts of which nothing but blanks stays go as well.
+    The first copy, by doc_id (nulls last) and line, stays; copies within one document count. Blank lines, of no characters
+    but ASCII blanks, neither make a run nor break it and stay, so lines may end with a carriage return. Null and empty
+    texts stay as they are; very long ones are edited whole; an empty table stays empty. Equal rows (same doc_id and text)
+    are edited alike and are not copies of each other.
     """
-    return edited(documents, long_words).select(*documents.columns)
+    rows = edited(documents, long_words)
+    return unwrapped(rows if emptied else rows.where(r"removed = 0 or text rlike '\\S'"), documents.columns, "text")
 
 
 #: Words that a repeated run of fewer than RUN lines must exceed in the report, and in the corpus pipeline.
@@ -123,4 +128,4 @@ def line_report(documents: DataFrame, long_words: int | None = LONG_WORDS) -> Da
 
     Runs of three or more lines, and shorter ones of over ``long_words`` words, as in ``deduplicated``.
     """
-    return edited(documents.select("doc_id", "text"), long_words).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return edited(documents.select("doc_id", "text"), long_words).select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -45,7 +45,7 @@ WORDS = rf"len(regexp_extract_all(t, '[{UNSPACED}]|[^ \t\n\x0B\f\r{UNSPACED}]+')
 # every run of three non-blank lines, and of one or two with over 50 words, that came before in the corpus goes
 OP7 = rf"""
 WITH l AS (SELECT doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: {{'i': i - 1, 't': x[i]}}), recursive := true) FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-q AS (SELECT doc_id, i, t, {WORDS} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(t, ' ') <> ''),
+q AS (SELECT doc_id, i, t, {WORDS} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 v AS (SELECT doc_id, p, t, n, t || chr(10) || lead(t) OVER o AS t2, n + lead(n) OVER o AS n2, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS t3 FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 w AS (SELECT doc_id, p, 3 AS size, t3 AS k FROM v UNION ALL SELECT doc_id, p, 1, t FROM v WHERE n > 50 UNION ALL SELECT doc_id, p, 2, t2 FROM v WHERE n2 > 50),
 r AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, p) AS n FROM w WHERE k IS NOT NULL),
