@@ -70,3 +70,25 @@ def test_odd_rows(spark):
     rows = substring_dedup.span_report(documents(spark, [text, text, text], [1, 1, None])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in rows) == [("1", 0), ("1", 0), ("None", 40)]
     assert substring_dedup.span_report(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_rows_without_id_keep_to_themselves(spark):
+    """Texts whose 32-bit hashes are equal, all without doc_id: each loses only what it repeats itself."""
+    head = " ".join(f"h{i}" for i in range(25)) + "."
+    tails = spark.range(400_000).selectExpr("concat(id, '.') AS t").withColumn("text", F.concat(F.lit(head + " "), "t")).withColumn("h", F.hash("text"))
+    twins = tails.groupBy("h").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").first().texts
+    short = spark.range(400_000).selectExpr("concat('s', id) AS text").withColumn("h", F.hash("text"))
+    other = short.join(tails.select("h").distinct(), "h").first()
+    same = tails.where(F.col("h") == other.h).first().text
+    texts = [head, *twins, other.text, same]
+    kept = substring_dedup.span_report(documents(spark, texts, [1] + [None] * (len(texts) - 1))).collect()
+    assert sorted(r.text for r in kept) == sorted([head, *(t[len(head) + 1 :] for t in twins), other.text, same[len(head) + 1 :]])
+
+
+def test_texts_without_blanks(spark):
+    """Each Han, kana or Thai character is a word, an ideographic full stop ends a sentence."""
+    said = "".join(chr(0x4E00 + i) for i in range(30)) + "。"
+    thai = "".join(chr(0x0E01 + i) for i in range(25))
+    texts = [said + "好。", "是。" + said + "a b。", thai, f"Hello.\n{thai}", "\U00020000" * 30, "x.\n" + "\U00020000" * 30, "é" * 40]
+    rows = {r.doc_id: (r.n_sentences, r.text) for r in substring_dedup.span_report(documents(spark, texts)).collect()}
+    assert rows == {0: (2, texts[0]), 1: (3, "是。a b。"), 2: (1, thai), 3: (2, "Hello.\n"), 4: (1, texts[4]), 5: (2, "x.\n"), 6: (1, texts[6])}

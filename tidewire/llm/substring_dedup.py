@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, text_bytes, words_of
+from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, text_bytes, unwrapped, with_totals, words_of, wrapped
 
 #: A span is the shortest run of sentences from its first one on, or up to its last one, that has so many words.
 SPAN_WORDS = 20
@@ -19,6 +20,19 @@ STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
 
+#: UTF-8 of the ideographic full stop, exclamation and question marks.
+WIDE_STOPS = np.array([0xE38082, 0xEFBC81, 0xEFBC9F])
+
+
+def stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether words that end before these bytes end a sentence."""
+    last = data[ends - 1]
+    out, wide = STOPS[last], np.flatnonzero((last >= 0x80) & (ends >= 3))
+    at = ends[wide]
+    out[wide] = np.isin(data[at - 3].astype(np.int64) << 16 | data[at - 2].astype(np.int64) << 8 | data[at - 1], WIDE_STOPS)
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -29,15 +43,16 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Word hashes; the first word of each sentence (and the number of words); where each text's sentences begin (and the
     last's end); where each sentence's bytes begin.
 
-    A sentence ends after a word that ends in . ! or ?, at a line's end, and with the text.
+    A word is a run without blanks, or one character of a script that is written without them. A sentence ends after a word
+    that ends in . ! or ? (ASCII or ideographic), at a line's end, and with the text.
     """
     data, _ = text_bytes(texts)
-    hashes, offsets, starts, ends = words_of(texts, SPACED_WORDS)
+    hashes, offsets, starts, ends = words_of(texts, SPACED_WORDS, apart=True)
     if not len(hashes):
         return hashes, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), starts
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     opens = np.ones(len(hashes), bool)
-    opens[1:] = STOPS[data[ends[:-1] - 1]] | (newlines[starts[1:]] > newlines[ends[:-1]])
+    opens[1:] = stops(data, ends[:-1]) | (newlines[starts[1:]] > newlines[ends[:-1]])
     opens[offsets[:-1][offsets[:-1] < len(hashes)]] = True
     first = np.flatnonzero(opens)
     return hashes, np.append(first, len(hashes)), np.searchsorted(first, offsets), starts[first]
@@ -67,7 +82,7 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash and text to span, id, text_hash, first, size and later.
+    """none, id, text_hash and text to span, none, id, text_hash, first, size and later.
 
     Of a span that a chunk of texts has at several places, the first stands for all; the others are later copies whatever
     other chunks hold, and leave with ``later`` set. So a span of every document has one row a chunk to be joined.
@@ -75,15 +90,15 @@ def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             row, first, size, named = spans(part.column("text"))
-            ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "text_hash"))
-            order = np.lexsort((first, hashes, ids, named))
-            row, first, size, named, ids, hashes = (x[order] for x in (row, first, size, named, ids, hashes))
+            none, ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("none", "id", "text_hash"))
+            order = np.lexsort((first, hashes, ids, none, named))
+            first, size, named, none, ids, hashes = (x[order] for x in (first, size, named, none, ids, hashes))
             fresh = np.concatenate([[True], named[1:] != named[:-1]])[: len(named)]
             head = np.maximum.accumulate(np.where(fresh, np.arange(len(named)), 0))
-            later = (ids != ids[head]) | (hashes != hashes[head]) | (first != first[head])
+            later = (none != none[head]) | (ids != ids[head]) | (hashes != hashes[head]) | (first != first[head])
             keep = fresh | later  # a repeated row is no copy of itself
-            columns = [(named, pa.int64()), (ids, pa.int64()), (hashes, pa.int32()), (first, pa.int32()), (size, pa.int32()), (later, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in columns], ["span", "id", "text_hash", "first", "size", "later"])
+            columns = [(named, pa.int64()), (none, pa.bool_()), (ids, pa.int64()), (hashes, pa.int64()), (first, pa.int32()), (size, pa.int32()), (later, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in columns], ["span", "none", "id", "text_hash", "first", "size", "later"])
 
 
 def covered(runs: list[dict], n: int) -> np.ndarray:
@@ -101,7 +116,7 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, ends = text_bytes(part.column("text"))
             _, _, owned, at = sentences(part.column("text"))
             texts, counts, removed = [], np.diff(owned), np.zeros(part.num_rows, np.int64)
-            for i, runs in enumerate(part.column("__runs").to_pylist()):
+            for i, runs in enumerate(part.column("runs").to_pylist()):
                 if not runs:
                     texts.append(part.column("text")[i].as_py())
                     continue
@@ -109,24 +124,28 @@ def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed[i] = gone.sum()
                 cut = np.append(at[owned[i] : owned[i + 1]], ends[i + 1])
                 texts.append((data[ends[i] : cut[0]].tobytes() + b"".join(data[a:b].tobytes() for a, b, g in zip(cut[:-1], cut[1:], gone, strict=True) if not g)).decode())
-            rest = [part.column(c) for c in part.schema.names if c not in ("text", "__runs")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [c for c in part.schema.names if c not in ("text", "__runs")] + ["text", "__sentences", "__removed"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "sentences", "removed"])
+
+
+KEY = ("none", "id", "text_hash")
 
 
 def edited(documents: DataFrame) -> DataFrame:
-    """All rows and columns, text without repeated spans, and ``__sentences`` and ``__removed``, the counts of sentences."""
-    keyed = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__hash": F.hash("text")})
-    rows = keyed.where("text is not null").select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"), "text")
-    found = pinned(rows.mapInArrow(span_rows, "span long, id long, text_hash int, first int, size int, later boolean"))
-    place = F.struct("id", "text_hash", "first")
-    joined = found.where("not later")
-    first = joined.groupBy("span").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").select("span", "kept")
-    gone = joined.join(first, "span").where(place > F.col("kept")).select("id", "text_hash", "first", "size").unionByName(found.where("later").select("id", "text_hash", "first", "size"))
-    runs = gone.groupBy(F.col("id").alias("__rid"), F.col("text_hash").alias("__rhash")).agg(F.collect_set(F.struct("first", "size")).alias("__runs"))
-    told = keyed.join(runs, (keyed["__id"] == F.col("__rid")) & (keyed["__hash"] == F.col("__rhash")), "left")
-    fields = [f for f in documents.schema if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return told.select(*(f"`{f.name}`" for f in fields), "text", "__runs").mapInArrow(without, f"{schema}, text string, __sentences long, __removed long")
+    """The rows as ``wrapped`` makes them, text (without repeated spans) apart, and ``sentences`` and ``removed``, the counts of sentences.
+
+    A row goes by doc_id and a hash of its text, one without doc_id by two hashes of 64 bits.
+    """
+    told = wrapped(documents, "text").withColumn("given", F.col("row.doc_id").cast("long"))
+    rows = told.select("row", "text", F.col("given").isNull().alias("none"), F.coalesce("given", F.xxhash64(F.lit("no id"), "text")).alias("id"), F.xxhash64("text").alias("text_hash"))
+    found = pinned(rows.where("text is not null").select(*KEY, "text").mapInArrow(span_rows, "span long, none boolean, id long, text_hash long, first int, size int, later boolean"))
+    place = F.struct(*KEY, "first")
+    # a span that every chunk holds has a row in each: they are dealt out
+    compared = with_totals(found.where("not later"), ["span"], place, {"kept": ("min", place), "last": ("max", place)}, F.col("kept") < F.col("last"))
+    gone = compared.where(place > F.col("kept")).select(*KEY, "first", "size").unionByName(found.where("later").select(*KEY, "first", "size"))
+    runs = gone.groupBy(*KEY).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
+    met = rows.join(runs, list(KEY), "left").select("row", "text", "runs")
+    more = [StructField("text", StringType()), StructField("sentences", LongType()), StructField("removed", LongType())]
+    return met.mapInArrow(without, StructType([met.schema["row"], *more]))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
@@ -136,9 +155,9 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     ASCII case, sentences by their words. Null texts, and texts of fewer than SPAN_WORDS words, stay as they are. Equal rows
     (same doc_id and text) are edited alike and are not copies of each other. Very long texts are taken whole. An empty table stays empty.
     """
-    return edited(documents).select(*(f"`{c}`" for c in documents.columns))
+    return unwrapped(edited(documents), documents.columns, "text")
 
 
 def span_report(documents: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, changed and the text that stays, of each document row."""
-    return edited(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"), (F.col("__removed") > 0).alias("changed"), "text")
+    return edited(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row.doc_id", F.col("sentences").alias("n_sentences"), F.col("removed").alias("n_removed"), (F.col("removed") > 0).alias("changed"), "text")
