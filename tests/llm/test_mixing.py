@@ -39,7 +39,7 @@ def test_targets_and_takes(spark, rng):
         assert r.target == pytest.approx(want[source]) and 0 <= r.taken <= 3 * r.size
         taken[source] += r.taken
     for s, n in taken.items():
-        assert n == pytest.approx(want[s], rel=0.03, abs=2 * mixing.BLOCK_WORDS)
+        assert n == pytest.approx(want[s], abs=1)
     assert sorted(map(tuple, mixing.mix_report(docs.repartition(7)).collect())) == sorted(map(tuple, rows))
     mix = mixing.mixed(docs).groupBy("doc_id").sum("words").collect()
     assert {r[0]: r[1] for r in mix} == {r.doc_id: r.taken for r in rows if r.taken}
@@ -58,7 +58,9 @@ def test_packed_blocks(spark, rng, monkeypatch):
     for r in rows:
         by_shard[r.shard].append(r.slot)
         counts[r.shard, r.source] += 1
-        assert blocks.setdefault((r.source, r.block), r.text) == r.text
+        known = blocks.setdefault((r.source, r.block), r.text)
+        assert known.startswith(r.text) or r.text.startswith(known)  # the last slot of a source takes what its target lacks
+        blocks[r.source, r.block] = max(known, r.text, key=len)
     assert sorted(by_shard) == list(range(len(by_shard))) and all(sorted(x) == list(range(len(x))) for x in by_shard.values())
     assert sorted(map(len, by_shard.values()))[1:] == [16] * (len(by_shard) - 1)
     assert {(r.shard, r.source): r.slots for r in mixing.shard_counts(docs).collect()} == dict(counts)
@@ -70,7 +72,7 @@ def test_packed_blocks(spark, rng, monkeypatch):
     assert dict(taken) == {r.doc_id: r.taken for r in mixing.mix_report(docs).collect() if r.taken}
     for source in ("a", "b", None):
         own = [blocks[k] for k in sorted(k for k in blocks if k[0] == source)]
-        assert {len(x.split()) for x in own[:-1]} <= {mixing.BLOCK_WORDS}
+        assert sum(len(x.split()) != mixing.BLOCK_WORDS for x in own[:-1]) <= 1
         heard = " ".join(own).split()
         runs = [w.split("w")[0] for i, w in enumerate(heard) if not i or w.split("w")[0] != heard[i - 1].split("w")[0]]
         assert len(set(heard)) == len(heard) and (len(runs) == len(set(runs)) or len(own) < max(k[1] for k in blocks if k[0] == source) + 1)
@@ -87,6 +89,27 @@ def test_permutation_is_one(spark):
         assert sorted(r.x for r in rows) == list(range(n))
 
 
+def test_places_undo_the_permutation(spark):
+    for n in (1, 2, 7, 1000):
+        seed = (F.lit("k"), F.lit(3))
+        rows = spark.range(n).select("id", mixing.place_of(mixing.permuted(F.col("id"), F.lit(n), *seed), F.lit(n), *seed).alias("x")).collect()
+        assert all(r.x == r.id for r in rows)
+
+
+def test_small_sources_meet_their_targets(spark, rng):
+    """Sources of a few words, of whole blocks, of one document and of many."""
+    held = [rng.randrange(1, 40) for _ in range(120)] + [64, 128, 192, 1, 2, 63, 65, 129]
+    sources = [f"s{i // 3:02}" for i in range(120)] + [f"t{i}" for i in range(8)]
+    texts = [" ".join("w" * n) for n in held]
+    rows = mixing.mix_report(documents(spark, texts, sources=sources)).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[sources[r.doc_id]] += r.taken
+        target[sources[r.doc_id]] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in target)
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ["a b", "a b", None], [5, 5, None], sources=["s", "s", None])
     rows = mixing.mix_report(docs).collect()

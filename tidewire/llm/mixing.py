@@ -5,7 +5,8 @@ a row of shards of ``SHARD_SLOTS`` slots. How many slots each source gets in eac
 are held to the targets: every source owns as many draws as its target needs, a pseudorandom permutation of all draws deals
 them to shards, and the draws are counted by shard and source. The slots of a source, numbered through its shards by those
 counts, go through its blocks by one pseudorandom permutation of block numbers after another, so no block comes more than
-three times. Slots and packed documents meet in a join by (source, block).
+three times. The last slot of a source takes only the words that its target still lacks, so a source of any size meets it.
+Slots and packed documents meet in a join by (source, block).
 """
 
 from __future__ import annotations
@@ -34,12 +35,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def permuted(index: Column, size: Column, *seed: Column) -> Column:
     """A pseudorandom permutation of 0 .. size - 1 (swap-or-not): each round swaps an index with its mirror, or doesn't."""
+    return swapped(F.sequence(F.lit(1), F.lit(ROUNDS)), index, size, *seed)
 
+
+def place_of(value: Column, size: Column, *seed: Column) -> Column:
+    """The index that ``permuted`` takes to a value: each round undoes itself, so they run backwards."""
+    return swapped(F.sequence(F.lit(ROUNDS), F.lit(1)), value, size, *seed)
+
+
+def swapped(rounds: Column, index: Column, size: Column, *seed: Column) -> Column:
     def swap(x: Column, step: Column) -> Column:
         mirror = F.pmod(F.pmod(F.xxhash64(step, *seed), size) - x + size, size)
         return F.when(F.xxhash64(-step, F.greatest(x, mirror), *seed).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
+    return F.aggregate(rounds, index, swap)
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -48,10 +57,11 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target, blocks, draws and the first draw of each source.
+    """source, source_size, target, blocks, draws, last_words and the first draw of each source.
 
     Weights share all words; a target stops at REPEATS times its source, and what is above is reshared by weight: sources
-    in the order of REPEATS * size / weight stop as long as the even share of the rest is above that.
+    in the order of REPEATS * size / weight stop as long as the even share of the rest is above that. The draws are the
+    slots that hold the target's words, in the order of the permutations; the last one takes ``last_words`` of its block.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     names = Window.orderBy(F.asc_nulls_last("source"))
@@ -64,8 +74,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = F.min(F.when(~F.col("stops"), F.struct(cap / F.col("weight"), F.col("share").alias("share")))).over(whole)["share"]
     leveled = stopped.withColumn("target", F.when(F.col("stops"), cap).otherwise(F.least(F.col("weight") * level, cap)))
     blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
-    drawn = leveled.withColumn("blocks", blocks).withColumn("draws", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
-    return drawn.select("source", "source_size", "target", "blocks", "draws", F.coalesce(F.sum("draws").over(names.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_draw"), F.sum("draws").over(whole).alias("all_draws"))
+    wanted = F.least(F.round("target").cast("long"), REPEATS * F.col("source_size"))
+    passed = leveled.withColumns({"blocks": blocks, "wanted": wanted, "passes": F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long")})
+    # of a pass that is not complete: the place of the source's last block, which may be short, and the words that are wanted of it
+    short = F.when(F.col("blocks") > 0, place_of(F.col("blocks") - 1, F.col("blocks"), F.col("source"), F.col("passes")))
+    opened = passed.withColumns({"short": short, "tail": F.col("source_size") - (F.col("blocks") - 1) * BLOCK_WORDS, "rest": F.col("wanted") - F.col("passes") * F.col("source_size")})
+    even = lambda words: F.ceil(words / BLOCK_WORDS).cast("long")
+    full = even(F.col("rest"))
+    more = F.when(full <= F.col("short"), full).otherwise(F.greatest(F.col("short"), even(F.col("rest") - F.col("tail"))) + 1)
+    before_last = F.when(F.col("more") - 1 <= F.col("short"), (F.col("more") - 1) * BLOCK_WORDS).otherwise((F.col("more") - 2) * BLOCK_WORDS + F.col("tail"))
+    counted = opened.withColumn("more", F.when(F.col("rest") > 0, more).otherwise(0))
+    drawn = counted.withColumns({"draws": F.coalesce(F.col("passes") * F.col("blocks") + F.col("more"), F.lit(0)).cast("long"), "last_words": F.when(F.col("more") > 0, F.col("rest") - before_last).otherwise(BLOCK_WORDS).cast("long")})
+    return drawn.select("source", "source_size", "target", "blocks", "draws", "last_words", F.coalesce(F.sum("draws").over(names.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_draw"), F.sum("draws").over(whole).alias("all_draws"))
 
 
 def dealt(goals: DataFrame) -> DataFrame:
@@ -93,13 +113,13 @@ def few(goals: DataFrame) -> DataFrame:
 
 
 def slots(goals: DataFrame) -> DataFrame:
-    """shard, source and block of each slot of the mix, and ``number``, which is unique in its shard and source."""
-    known = goals.select(F.col("source").alias("s"), "blocks")
+    """shard, source and block of each slot of the mix, ``number``, which is unique in its shard and source, and the ``most`` words that it takes."""
+    known = goals.select(F.col("source").alias("s"), "blocks", "draws", "last_words")
     counts = numbered(pinned(dealt(goals)))
     given = counts.join(few(known), counts.source.eqNullSafe(F.col("s")))
-    each = given.select("shard", "source", "blocks", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("number"))
+    each = given.select("shard", "source", "blocks", "draws", "last_words", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("number"))
     index = F.col("first") + F.col("number")
-    return each.select("shard", "source", "number", permuted(index % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(index / F.col("blocks"))).alias("block"))
+    return each.select("shard", "source", "number", permuted(index % F.col("blocks"), F.col("blocks"), F.col("source"), F.floor(index / F.col("blocks"))).alias("block"), F.when(index == F.col("draws") - 1, F.col("last_words")).otherwise(BLOCK_WORDS).alias("most"))
 
 
 def placed(sizes: DataFrame) -> DataFrame:
@@ -116,12 +136,17 @@ def placed(sizes: DataFrame) -> DataFrame:
 
 
 def pieces(places: DataFrame) -> DataFrame:
-    """The part of a document in each of its blocks: source, block, doc_id, size, start, first_word and words."""
+    """The part of a document in each of its blocks: source, block, doc_id, size, start, first_word, words and ``at``, its place in the block."""
     block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)))
     cut = places.select("*", block.alias("block"))
     head = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     tail = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
-    return cut.select("source", "block", "doc_id", "turn", "size", "start", (head - F.col("start")).alias("first_word"), (tail - head).alias("words"))
+    return cut.select("source", "block", "doc_id", "turn", "size", "start", (head - F.col("start")).alias("first_word"), (tail - head).alias("words"), (head - F.col("block") * BLOCK_WORDS).alias("at"))
+
+
+def words_within(most: Column) -> Column:
+    """Of a piece's words those among the first ``most`` of its block."""
+    return F.greatest(F.lit(0), F.least(F.col("words"), most - F.col("at")))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
@@ -130,13 +155,15 @@ def mixed(documents: DataFrame) -> DataFrame:
     parts, each = pieces(placed(sizes)), slots(pinned(targets(sizes)))
     same = parts.source.eqNullSafe(each.source) & (parts.block == each.block)
     # the planner takes listed slots for as few as the counts, so the join is named
-    return each.hint("merge").join(parts, same).select("shard", "number", each.source, each.block, "doc_id", "first_word", "words")
+    met = each.hint("merge").join(parts, same).withColumn("words", words_within(F.col("most"))).where("words > 0")
+    return met.select("shard", "number", each.source, each.block, "doc_id", "first_word", "words")
 
 
 def packed(documents: DataFrame) -> DataFrame:
     """The output: shard, slot, source, block and text, the block's words in order with one blank between them.
 
-    The slots of a shard stand in a pseudorandom order. Blocks hold BLOCK_WORDS words, but for the last of a source.
+    The slots of a shard stand in a pseudorandom order. Blocks hold BLOCK_WORDS words, but for the last of a source; its last
+    slot may hold the beginning of one.
     """
     sizes = pinned(sized(documents))
     goals = pinned(targets(sizes))
@@ -147,7 +174,8 @@ def packed(documents: DataFrame) -> DataFrame:
     # a block gathers BLOCK_WORDS words, no more
     blocks = own.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["own"])), " ").alias("text"))
     each = slots(goals)
-    joined = each.hint("merge").join(blocks, each.source.eqNullSafe(F.col("s")) & (each.block == F.col("b"))).select("shard", "source", "number", "block", "text")
+    met = each.hint("merge").join(blocks, each.source.eqNullSafe(F.col("s")) & (each.block == F.col("b")))
+    joined = met.select("shard", "source", "number", "block", F.when(F.col("most") < BLOCK_WORDS, F.expr("substring_index(text, ' ', cast(most as int))")).otherwise(F.col("text")).alias("text"))
     order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "number", "shard"), F.asc_nulls_last("source"), "number")
     return joined.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "block", "text")
 
@@ -166,11 +194,11 @@ def mix_report(documents: DataFrame) -> DataFrame:
     """
     sizes = pinned(sized(documents))
     goals = pinned(targets(sizes))
-    uses = slots(goals).groupBy("source", "block").agg(F.count("*").alias("uses"))
+    uses = slots(goals).groupBy("source", "block").agg(F.count("*").alias("uses"), F.min("most").alias("most"))
     parts = pieces(placed(sizes))
     same = parts.source.eqNullSafe(uses.source) & (parts.block == uses.block)
     # the planner takes listed slots for as few as the counts, so the join is named
-    taken = parts.join(uses.hint("merge"), same, "left").groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce(F.col("uses"), F.lit(0)) * F.col("words")).alias("taken"))
+    taken = parts.join(uses.hint("merge"), same, "left").groupBy(parts.source, "start", "doc_id", "size").agg(F.sum(F.coalesce((F.col("uses") - 1) * F.col("words") + words_within(F.col("most")), F.lit(0))).alias("taken"))
     rows = taken.select("source", "doc_id", "size", "taken").unionByName(sizes.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     told = few(goals.select(F.col("source").alias("s"), "source_size", "target"))
     return rows.join(told, rows.source.eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
