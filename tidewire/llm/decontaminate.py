@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import ALNUM_WORDS, chunks, pinned, word_hashes
+from tidewire.llm.common import ALNUM_WORDS, chunks, pinned, unwrapped, word_hashes, wrapped
 
 #: Words in a window.
 WINDOW = 13
@@ -333,9 +333,9 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, *, block: int = B
     """The documents that are not contaminated, with all their columns. Each row is judged by its own text."""
     pairs, n = passes(benchmark, WINDOW, block)
     if n > 1:
-        numbered = pinned(documents.withColumn("__row", F.monotonically_increasing_id()))
-        bad = merged_passes(numbered.select(F.col("__row").alias("row_id"), "text"), pinned(pairs), n).where(is_contaminated()).select(F.col("row_id").alias("__row"))
-        return numbered.join(bad, "__row", "left_anti").select(*(f"`{c}`" for c in documents.columns))
+        numbered = pinned(wrapped(documents, "text").withColumn("row_id", F.monotonically_increasing_id()))
+        bad = merged_passes(numbered.select("row_id", "text"), pinned(pairs), n).where(is_contaminated()).select("row_id")
+        return unwrapped(numbered.join(bad, "row_id", "left_anti"), documents.columns, "text")
     shared = documents.sparkSession.sparkContext.broadcast(phrases_of(pairs, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +343,8 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, *, block: int = B
             keep = ~((n_hit > 0) & (20 * n_hit >= n_words))
             yield rows.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    rows = wrapped(documents, "text")
+    return unwrapped(rows.mapInArrow(run, rows.schema), documents.columns, "text")
 
 
 def sha_of_items(items: list[str]) -> str:

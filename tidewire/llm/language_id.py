@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import chunks
+from tidewire.llm.common import chunks, unwrapped, wrapped
 
 #: The most frequent n-grams (n from 1 to 3) in a profile.
 PROFILE = 300
@@ -166,4 +166,5 @@ def accepted(documents: DataFrame, *, least_score: float = 0.0) -> DataFrame:
                 found = [shared.value.nearest(t) for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_score for x in found], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    rows = wrapped(documents, "text")
+    return unwrapped(rows.mapInArrow(run, rows.schema), documents.columns, "text")

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import wrapped
+
 #: Fragments in a run at most: no known sentence has more words.
 MOST_FRAGMENTS = 96
 #: Known licence sentences by identifier.
@@ -132,12 +134,12 @@ def fragments(text: Column) -> Column:
 
 
 def identifiers() -> Column:
-    """The identifiers of the known sentences among ``__fragments``, in order: at each fragment the longest known sentence that begins there."""
+    """The identifiers of the known sentences among ``fragments``, in order: at each fragment the longest known sentence that begins there."""
     ids = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     bare = lambda x: F.rtrim(F.translate(x, HARD, ""))
 
     def longest(x: Column) -> Column:
-        run = F.slice("__fragments", x["at"] + 1, F.least(F.size("__fragments") - x["at"], F.lit(MOST_FRAGMENTS)))
+        run = F.slice("fragments", x["at"] + 1, F.least(F.size("fragments") - x["at"], F.lit(MOST_FRAGMENTS)))
         start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("id"))
 
         def step(done: Column, f: Column) -> Column:
@@ -147,7 +149,7 @@ def identifiers() -> Column:
 
         return F.aggregate(run, start, step, lambda done: done["id"])
 
-    heads = F.filter(F.transform("__fragments", lambda f, i: F.struct(i.alias("at"), bare(f).alias("said"))), lambda x: F.substring_index(x["said"], " ", 2).isin(*HEADS))
+    heads = F.filter(F.transform("fragments", lambda f, i: F.struct(i.alias("at"), bare(f).alias("said"))), lambda x: F.substring_index(x["said"], " ", 2).isin(*HEADS))
     return F.filter(F.transform(heads, longest), lambda x: x.isNotNull())
 
 
@@ -183,10 +185,11 @@ def scanned(documents: DataFrame) -> DataFrame:
     name = "found"
     while name in documents.columns:
         name = f"_{name}"
-    known = documents.withColumn("__fragments", fragments(F.col("text"))).withColumn("__ids", F.coalesce(identifiers(), F.array().cast("array<string>")))
-    row = F.concat(F.lit(";"), F.array_join("__ids", ";;"), F.lit(";"))
-    licenses = F.when(F.size("__ids") > 0, named(row)).otherwise(F.array().cast("array<string>"))
-    return known.withColumn(name, F.struct(F.col("__ids").alias("sentence_ids"), licenses.alias("licenses"))).drop("__ids", "__fragments")
+    known = wrapped(documents, "text").withColumn("fragments", fragments(F.col("text"))).withColumn("ids", F.coalesce(identifiers(), F.array().cast("array<string>")))
+    row = F.concat(F.lit(";"), F.array_join("ids", ";;"), F.lit(";"))
+    licenses = F.when(F.size("ids") > 0, named(row)).otherwise(F.array().cast("array<string>"))
+    told = known.withColumn("found", F.struct(F.col("ids").alias("sentence_ids"), licenses.alias("licenses")))
+    return told.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns), F.col("found").alias(name))
 
 
 def license_report(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, salted_join, stream, with_totals, word_hashes
+from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, quoted, salted_join, stream, with_totals, word_hashes
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -416,15 +416,14 @@ def deduplicated(documents: DataFrame, link: tuple[int, int] = LINK) -> DataFram
     Here each row is a document of its own, so rows that share a doc_id but not their text are dropped only as copies. Of a
     group the row of the smallest doc_id stays; of its texts, if there are several, that of the smallest hash; of equal rows one.
     """
-    keyed = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
-    judged = F.coalesce(F.col("__id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows, sets = grouped(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), "text"), link, by_id=False)
+    keyed = documents.select(F.struct(*map(quoted, documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    judged = F.coalesce(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows, sets = grouped(keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "text"), link, by_id=False)
     whole = rows.where("n_shingles > 0 and doc_id is not null").join(sets.select("set_a", "set_b", "component"), ["set_a", "set_b"]).select("doc_id", "text_key", "component")
     place = F.struct("doc_id", "text_key")
     later = with_totals(whole.distinct(), ["component"], place, {"first": ("min", place)})
-    gone = later.where(place > F.col("first")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"))
-    own = [F.col(f"`{c}`") for c in documents.columns]
+    gone = later.where(place > F.col("first")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     # equal rows first meet where they are read, and then share the join's partitions
-    one = keyed.where(judged).groupBy("__id", "__key").agg(F.min(F.struct(*own)).alias("__row"))
-    kept = one.join(gone, (F.col("__id") == F.col("__gone_id")) & (F.col("__key") == F.col("__gone_key")), "left_anti").select("__row.*")
-    return kept.unionByName(keyed.where(~judged).select(*own))
+    one = keyed.where(judged).groupBy("id", "key").agg(F.min("row").alias("row"))
+    kept = one.join(gone, ["id", "key"], "left_anti").select("row.*")
+    return kept.unionByName(keyed.where(~judged).select("row.*"))
