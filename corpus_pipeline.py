@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of three lines, and of fewer with over 50 words, go, and texts that hold nothing else; n_chars follows the text."""
-    kept = line_dedup.edited(docs, long_words=50).where(r"__removed = 0 or text rlike '\\S'").select(*docs.columns)
+    kept = line_dedup.deduplicated(docs, long_words=50, emptied=False)
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
