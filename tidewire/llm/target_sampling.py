@@ -27,7 +27,7 @@ LEAST_WORDS = 20
 #: Seed of the draw's noise, and of a hundred documents how many are drawn.
 SEED, PERCENT = 7, 25
 #: Text bytes that DuckDB takes at once; a longer text goes in pieces of about so many characters.
-PIECE = 1 << 20
+PIECE = 1 << 19
 SEPARATORS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 HELD = StructField("held", ArrayType(StructType([StructField("bucket", IntegerType()), StructField("n", LongType())])))
 SEPARATOR = re.compile(f"[{re.escape(SEPARATORS)}]")
@@ -43,7 +43,7 @@ SELECT number, (crc(gram) % {BUCKETS})::INTEGER AS bucket, count(*) AS n FROM gr
 
 
 def crcs(grams: pa.ChunkedArray) -> pa.Array:
-    return pa.array([zlib.crc32(g) for g in grams.cast(pa.binary()).to_pylist()], pa.uint32())
+    return pa.array([*map(zlib.crc32, grams.cast(pa.binary()).to_numpy())], pa.uint32())
 
 
 def counter() -> duckdb.DuckDBPyConnection:
