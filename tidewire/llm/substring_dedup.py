@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, text_bytes, unwrapped, with_totals, words_of, wrapped
+from tidewire.llm.common import SPACED_WORDS, chunks, mixed, pinned, text_bytes, unwrapped, words_of, wrapped
 
 #: A span is the shortest run of sentences from its first one on, or up to its last one, that has so many words.
 SPAN_WORDS = 20
@@ -139,9 +139,10 @@ def edited(documents: DataFrame) -> DataFrame:
     rows = told.select("row", "text", F.col("given").isNull().alias("none"), F.coalesce("given", F.xxhash64(F.lit("no id"), "text")).alias("id"), F.xxhash64("text").alias("text_hash"))
     found = pinned(rows.where("text is not null").select(*KEY, "text").mapInArrow(span_rows, "span long, none boolean, id long, text_hash long, first int, size int, later boolean"))
     place = F.struct(*KEY, "first")
-    # a span that every chunk holds has a row in each: they are dealt out
-    compared = with_totals(found.where("not later"), ["span"], place, {"kept": ("min", place), "last": ("max", place)}, F.col("kept") < F.col("last"))
-    gone = compared.where(place > F.col("kept")).select(*KEY, "first", "size").unionByName(found.where("later").select(*KEY, "first", "size"))
+    joined = found.where("not later")
+    # a span that every chunk holds has a row in each: aggregates take them where they are, and the join may split its side
+    first = joined.groupBy("span").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("span", "kept")
+    gone = joined.join(first, "span").where(place > F.col("kept")).select(*KEY, "first", "size").unionByName(found.where("later").select(*KEY, "first", "size"))
     runs = gone.groupBy(*KEY).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     met = rows.join(runs, list(KEY), "left").select("row", "text", "runs")
     more = [StructField("text", StringType()), StructField("sentences", LongType()), StructField("removed", LongType())]
