@@ -191,7 +191,7 @@ def title_key(spark, d):
 
 
 def raw_articles(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as scraped articles of twenty companies: the first line is the headline."""
+    """Documents as scraped articles of ten days on twenty companies: the first line is the headline."""
     return b.table(spark, d, "documents").select(
         F.col("source").alias("short_name"),
         F.element_at(F.split("text", r"\s+"), 1).alias("company_name"),
@@ -199,7 +199,7 @@ def raw_articles(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("arrival"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("https://www.example.com/a/"), F.substring(F.sha2("text", 256), 1, 16), F.lit("?utm_source=x")).alias("url"),
-        F.lit(AS_OF).cast("timestamp").alias("published_at"),
+        (F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=F.pmod(F.col("doc_id"), F.lit(240)).cast("int"))).alias("published_at"),
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("string").alias("image"),
         F.lit(None).cast("string").alias("source"),
