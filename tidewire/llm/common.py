@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.shared import cleared, pinned, shared_dir  # noqa: F401
+
 #: Text bytes handled at once inside a task, whatever the size of an Arrow batch.
 CHUNK_BYTES = 1 << 20
 
@@ -21,35 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.gettempdir()}/tidewire-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors lose nothing.
-
-    ``cleared`` deletes what an application pinned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def cleared(spark: SparkSession) -> None:
-    """Delete the tables that this application pinned, once no result that comes from them is needed any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def wrapped(documents: DataFrame, *apart: str) -> DataFrame:
     """``row``, a struct of all columns but those ``apart``, and these beside it: no name of the caller's can clash with an operator's."""
     own = [quoted(c) for c in documents.columns if c not in apart]
