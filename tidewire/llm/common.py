@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ def unwrapped(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
     return rows.select(*(F.col(c) if c in apart else F.col("row")[c].alias(c) for c in columns))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is made once, however often, and in whatever lambda, the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quoted(name: str) -> Column:
     """A column of any name."""
     return F.col("`" + name.replace("`", "``") + "`")

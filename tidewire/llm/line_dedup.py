@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import pinned, unwrapped, with_totals, wrapped
+from tidewire.llm.common import let, pinned, unwrapped, with_totals, wrapped
 
 #: Non-blank lines in a window, the shortest run that is deleted.
 RUN = 3
@@ -90,18 +90,25 @@ def edited(documents: DataFrame, long_words: int | None = None) -> DataFrame:
     runs = matches(rows, long_words).groupBy("__key").agg(F.collect_set(F.struct("from", "size")).alias("runs")).withColumnRenamed("__key", "other")
     # the join keeps a repeated row as often as it comes
     met = rows.join(runs, rows["__key"] == F.col("other"), "left")
-    solid = met.withColumn("solid", F.when(F.col("runs").isNotNull(), F.transform(solid_lines(F.col("text")), lambda x: x["line"])))
-    joined = solid.withColumn("gone", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice("solid", r["from"] + 1, r["size"])))))
-    # one sort puts each line number that goes before its line: linear, however many lines there are
-    tagged = F.array_sort(F.concat(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("tag"), x.alias("line"))), F.transform("gone", lambda i: F.struct(i.alias("i"), F.lit(0).alias("tag"), F.lit(None).cast("string").alias("line")))))
-    sorted_rows = joined.withColumn("tagged", F.when(F.col("gone").isNotNull(), tagged))
-    kept = F.filter("tagged", lambda x, j: (x["tag"] == 1) & ~F.coalesce(F.get("tagged", j - 1)["i"] == x["i"], F.lit(False)))
-    return sorted_rows.select(
+
+    def without(gone: Column) -> Column:
+        """One sort puts each line number that goes before its line: linear, however many lines there are."""
+        numbered = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("tag"), x.alias("line")))
+        marks = F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(0).alias("tag"), F.lit(None).cast("string").alias("line")))
+        kept = lambda tagged: F.filter(tagged, lambda x, j: (x["tag"] == 1) & ~F.coalesce(F.get(tagged, j - 1)["i"] == x["i"], F.lit(False)))
+        text = F.array_join(F.transform(let(F.array_sort(F.concat(numbered, marks)), kept), lambda x: x["line"]), "\n")
+        return F.struct(text.alias("text"), F.size(gone).alias("removed"))
+
+    solid = F.transform(solid_lines(F.col("text")), lambda x: x["line"])
+    gone = let(solid, lambda lines: F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice(lines, r["from"] + 1, r["size"])))))
+    # exploded, so that no later filter makes it again
+    done = met.select("row", "doc_id", "text", F.explode(F.array(F.when(F.col("runs").isNotNull(), let(gone, without)))).alias("done"))
+    return done.select(
         "row",
         "doc_id",
-        F.when(F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("done").isNull(), F.col("text")).otherwise(F.col("done.text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long").alias("lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"),
+        F.coalesce("done.removed", F.lit(0)).cast("long").alias("removed"),
     )
 
 
