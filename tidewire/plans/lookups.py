@@ -1,4 +1,4 @@
-"""Queries on scopes, lookups, panels, listings, landed payloads and sentiment, and their DuckDB SQL."""
+"""Queries on scopes, lookups, panels, listings, landed payloads, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions import normalize, sentiment
+from tidewire.functions import normalize
 from tidewire.operators import feed, insights, listings, lookups, stories, upserts
 from tidewire.plans import bindings as b
 from tidewire.sources import payloads, requests
@@ -176,17 +176,6 @@ def source_list(spark, d):
     return requests.sources_of(stocks(spark, d).select("short_name", F.concat("yahoo_symbol", F.lit(".X")).alias("yahoo_symbol"), "exchange"))
 
 
-HEADLINES = ("Acme beats estimates and shares surge", "Acme cuts its full-year dividend", "Acme hits 52-week high", "Top picks today", "Acme is not up", "Analyst cuts price target on Acme", "Acme raises earnings guidance, profits soar!", "Record loss; bankruptcy feared", "Acme to report on Thursday", "SEC investigation sends Acme tumbling")
-
-
-def sentiment_score(spark, d):
-    rows = b.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("event_id") % len(HEADLINES) + 1).cast("int")).alias("title"))
-    return rows.select("event_id", sentiment.collapsed(F.col("title")).alias("collapsed"), sentiment.compound(F.col("title")).alias("score"))
-
-
-def score_patch(spark, d):
-    rows = b.news(spark, d).select("id", "title", "description", "publish_time", "sentiment")
-    return upserts.patched(rows, lookups.scored(rows, F.length("title").cast("double")), "id", overwrite=["sentiment"]).select("id", "sentiment")
 
 
 def image_patch(spark, d):
@@ -247,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scoped_feed, scoped_search, latest_headlines, symbol_lists, lookup_in_order, requested_quotes, unresolved, following, price_history, sentiment_history, events_page, flags, stock_rows, health, outcomes, ticker_panels,
-        page_by_impact, page_layout, unseen, merged_moves, search_with_lookup, completion, display_formats, listing_ranks, first_candidates, looked_up, work_list, request_windows, source_list, sentiment_score, score_patch,
+        page_by_impact, page_layout, unseen, merged_moves, search_with_lookup, completion, display_formats, listing_ranks, first_candidates, looked_up, work_list, request_windows, source_list,
         image_patch, catalogue_growth, watch_changes, rss_articles, filings, quote_chain, publishers, stored_stories,
     )
 }
@@ -257,7 +246,6 @@ CANDIDATES = """(SELECT l_suppkey::VARCHAR AS short_name, l_linenumber % 2 AS se
   ['NMS', 'LSE', 'GER', 'XXX', 'TOR'][l_orderkey % 5 + 1] AS exchange, ['Apple Inc', 'Alphabet Inc', 'Shell plc', 'Leveraged Apple 2x ETP', 'Apple Incorporated'][l_partkey % 5 + 1] AS long_name FROM lineitem WHERE l_orderkey % 7 = 0)"""
 COUNTS = f"(SELECT short_name, count(*) AS article_count, avg(sentiment) AS avg_sentiment FROM {N} WHERE publish_time >= {D17} GROUP BY 1)"
 RECENT = f"(SELECT short_name, avg(m) AS recent FROM (SELECT short_name, publish_time::DATE AS day, avg(sentiment) AS m FROM {N} WHERE sentiment IS NOT NULL GROUP BY 1, 2) WHERE day >= DATE '2024-01-28' GROUP BY 1)"
-SCORES = (("Acme beats_estimates and shares surge", 2.8 + 2.8), ("Acme cuts_dividend", -3.2), ("Acme hits 52_week_high", 2.4), ("Top picks today", 0), ("Acme is not up", -0.74 * 1.4), ("Analyst cuts_price_target on Acme", -2.8), ("Acme raises_guidance, profits soar!", 3.2 + 1.8 + 3.0), ("record_loss; bankruptcy feared", -3.0 - 3.6), ("Acme to report on Thursday", 0), ("sec_investigation sends Acme tumbling", -3.0 - 2.8))
 PAGED = f"(SELECT id, source AS page, impact, image, id AS pos FROM {N} WHERE publish_time >= TIMESTAMP '2024-01-30')"
 ORACLES = {
     "scoped_feed": f"SELECT id, short_name, publish_time FROM {N} WHERE publish_time >= {D17} AND short_name IN (SELECT w.short_name FROM {W} w JOIN {b.STOCKS} s USING (short_name) WHERE industry = 'EUROPE' OR sector = 'EUROPE') ORDER BY publish_time DESC, id DESC LIMIT 80",
@@ -301,8 +289,6 @@ ORACLES = {
         UNION ALL SELECT short_name, 0, x || ' when:2d', 'US' FROM q""",
     "source_list": f"""WITH s AS (SELECT short_name, CASE WHEN yahoo_symbol IS NULL THEN short_name ELSE yahoo_symbol || '.X' END AS t, coalesce(yahoo_symbol, short_name) AS u, exchange FROM {STOCKS})
         SELECT short_name, source, t AS ticker FROM s, (VALUES ('GOOGLE_NEWS'), ('YAHOO_SEARCH'), ('YAHOO_RSS'), ('BING_NEWS')) v(source) UNION ALL SELECT short_name, source, u FROM s, (VALUES ('FINVIZ'), ('NASDAQ_RSS'), ('SEC_EDGAR')) v(source) WHERE exchange = 'NMS'""",
-    "sentiment_score": "SELECT event_id, collapsed, round(s / sqrt(s * s + 15), 3) AS score FROM events JOIN (VALUES " + ", ".join(f"({i}, '{t}', {w!r}::DOUBLE)" for i, (t, w) in enumerate(SCORES)) + ") v(k, collapsed, s) ON k = event_id % 10",
-    "score_patch": f"SELECT n.id, CASE WHEN p.id IS NULL THEN sentiment ELSE length(title)::DOUBLE END AS sentiment FROM {N} n LEFT JOIN (SELECT id FROM {N} WHERE sentiment IS NULL ORDER BY publish_time DESC, id DESC LIMIT 500) p ON p.id = n.id",
     "image_patch": f"""SELECT n.id, coalesce(image, CASE WHEN p.id IS NOT NULL AND n.url NOT LIKE '%3' THEN regexp_extract(n.url, '^(https://[^/]*)', 1) || '/i.png?u=1' END) AS image FROM {N} n
         LEFT JOIN (SELECT id FROM {N} WHERE image IS NULL AND source_domain IS NOT NULL ORDER BY publish_time DESC, id DESC LIMIT 500) p ON p.id = n.id""",
     "catalogue_growth": f"""WITH p AS (SELECT (s_suppkey * 40)::VARCHAR AS short_name, s_name AS name, 'ETF' AS type, CASE WHEN s_suppkey % 2 = 0 THEN 'GBP' END AS c FROM supplier WHERE s_suppkey % 9 > 0)
