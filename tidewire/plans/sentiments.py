@@ -66,7 +66,8 @@ def headline_sql(words: str, number: str) -> str:
 
 def rounded_sql(x: str) -> str:
     tie, scale = f"round(abs({x}) * 10000)::HUGEINT", "4611686018427387904"
-    up = f"({tie} = 5 OR (abs({x}) * {scale}::DOUBLE)::HUGEINT * 10000 > {tie} * {scale}::HUGEINT)::INT"
+    own, half = f"(abs({x}) * {scale}::DOUBLE)::HUGEINT * 10000", f"{tie} * {scale}::HUGEINT"
+    up = f"({tie} = 5 OR {own} > {half} OR ({own} = {half} AND {tie} // 10 % 2 = 1))::INT"
     return f"CASE WHEN round({x}, 4) = {x} AND {tie} % 10 = 5 THEN sign({x}) * ({tie} // 10 + {up})::DOUBLE / 1000 ELSE round({x}, 3) END"
 
 
