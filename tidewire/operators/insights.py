@@ -38,11 +38,15 @@ def deltas(history: DataFrame, as_of, window_days: int = 3, baseline_days: int =
     )
 
 
-def movers(stocks: DataFrame, counts: DataFrame, shifts: DataFrame, limit: int = 8) -> DataFrame:
-    """Quoted stocks by the size of their move, with counts and the recent mean, or else the articles' own."""
+def moves(stocks: DataFrame, counts: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Every quoted stock with its move, its count of articles and the recent mean, or else the articles' own."""
     joined = stocks.where("price IS NOT NULL").join(counts, "short_name", "left").join(shifts, "short_name", "left")
-    shown = joined.select("short_name", "name", "price", "price_change_percent", F.coalesce("article_count", F.lit(0)).alias("article_count"), F.coalesce("recent", "avg_sentiment").alias("sentiment"))
-    return shown.orderBy(F.desc(F.abs(F.coalesce("price_change_percent", F.lit(0.0)))), "short_name").limit(limit)
+    return joined.select("short_name", "name", "price", "price_change_percent", F.coalesce("article_count", F.lit(0)).alias("article_count"), F.coalesce("recent", "avg_sentiment").alias("sentiment"))
+
+
+def movers(stocks: DataFrame, counts: DataFrame, shifts: DataFrame, limit: int = 8) -> DataFrame:
+    """The quoted stocks of the largest moves."""
+    return moves(stocks, counts, shifts).orderBy(F.desc(F.abs(F.coalesce("price_change_percent", F.lit(0.0)))), "short_name").limit(limit)
 
 
 def panels(counts: DataFrame, shifts: DataFrame, limit: int = 6) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on scopes, lookups, panels, listings, landed payloads, and their DuckDB SQL."""
+"""Queries on scopes, lookups, panels and listings, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -94,7 +94,8 @@ def outcomes(spark, d):
 
 def ticker_panels(spark, d):
     counts, shifts = insights.count_by_stock(b.news(spark, d), SINCE), insights.deltas(insights.rollup(b.news(spark, d)), TODAY)
-    return lookups.ticker_panels(insights.movers(b.stocks(spark, d), counts, shifts, limit=1_000_000))
+    # the last digits of a mean of doubles follow the order in which its parts arrive
+    return lookups.ticker_panels(insights.moves(b.stocks(spark, d), counts, shifts)).withColumn("value", F.round("value", 9))
 
 
 def paged(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +146,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_suppkey")
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
     names = ("Apple Inc", "Alphabet Inc", "Shell plc", "Leveraged Apple 2x ETP", "Apple Incorporated")
-    kept = b.table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
-    return kept.select(k.cast("string").alias("short_name"), pick(names, k).alias("catalogue_name"), (F.col("l_linenumber") % 2).alias("search"), F.col("l_orderkey").alias("place"), F.concat((F.col("l_partkey") % 40).cast("string"), pick(("", ".L", ".DE"), F.col("l_partkey"))).alias("symbol"), pick(("EQUITY", "etf", "OPTION", "INDEX"), F.col("l_partkey")).alias("quote_type"), pick(("NMS", "LSE", "GER", "XXX", "TOR"), F.col("l_orderkey")).alias("exchange"), pick(names, F.col("l_partkey")).alias("long_name"), F.lit(None).cast("string").alias("other_name"))
+    return b.table(spark, d, "lineitem").select(k.cast("string").alias("short_name"), pick(names, k).alias("catalogue_name"), (F.col("l_linenumber") % 2).alias("search"), F.col("l_orderkey").alias("place"), F.concat((F.col("l_partkey") % 40).cast("string"), pick(("", ".L", ".DE"), F.col("l_partkey"))).alias("symbol"), pick(("EQUITY", "etf", "OPTION", "INDEX"), F.col("l_partkey")).alias("quote_type"), pick(("NMS", "LSE", "GER", "XXX", "TOR"), F.col("l_orderkey")).alias("exchange"), pick(names, F.col("l_partkey")).alias("long_name"), F.lit(None).cast("string").alias("other_name"))
 
 
 def listing_ranks(spark, d):
@@ -194,36 +194,6 @@ def watch_changes(spark, d):
     return upserts.unfollowed(upserts.followed(upserts.followed(b.watchlist(spark, d), "X1"), "NONE"), "X2")
 
 
-RSS = """<rss><channel><item><title>Shell&#8217;s profit &amp; loss - Reuters</title><link>https://www.reuters.com/a</link><pubDate>Sat, 10 Jan 2026 09:30:00 GMT</pubDate><source url="https://www.reuters.com">Reuters</source></item><item><title>No link</title></item><item><title><![CDATA[Bing hit]]></title><link>http://bing.com/r?url=https%3a%2f%2fa.com%2fx&amp;q=1</link></item></channel></rss>"""
-ATOM = "<feed>" + "".join(f"<entry><filing-type>{form}</filing-type><filing-href>https://sec.gov/{i}</filing-href><filing-date>2026-01-0{i}</filing-date><form-name>{name}</form-name></entry>" for i, (form, name) in enumerate((("8-K/A", "Current report"), ("4", "x"), ("424B5", ""), ("S-4", "y")), 1)) + "</feed>"
-CNBC = {"FormattedQuoteResult": {"FormattedQuote": [{"symbol": "SHEL-GB", "exchange": "LSE", "last": "3,323.50", "currencyCode": "GBp", "previous_day_closing": "3,300.00", "change": "UNCH", "change_pct": "0.71%"}]}}
-NASDAQ = {"data": {"symbol": "ACME", "exchange": "NMS", "primaryData": {"lastSalePrice": "$11.00"}, "secondaryData": {"lastSalePrice": "$10.50", "netChange": "0.25", "percentageChange": "2.44%"}}}
-CHART = {"chart": {"result": [{"meta": {"symbol": "X.L", "currency": "GBp", "regularMarketPrice": 3323.5}, "timestamp": [1, 2, 3], "indicators": {"quote": [{"close": [3300.0, None, 3323.5]}]}}]}}
-
-
-def landed(spark: SparkSession, *texts: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "payload_id int, payload string")
-
-
-def rss_articles(spark, d):
-    return payloads.rss_items(landed(spark, RSS, "nonsense")).select("payload_id", "ordinal", "title", "url", "source", "source_domain", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
-
-
-def filings(spark, d):
-    return payloads.filings(landed(spark, ATOM), F.lit("Acme")).select("ordinal", "title", "url", "description", F.to_date("published_at").cast("string").alias("filed"))
-
-
-def quote_chain(spark, d):
-    nasdaq = landed(spark, json.dumps(NASDAQ), json.dumps(NASDAQ), "x").withColumn("requested", F.element_at(F.array(F.lit("ACME"), F.lit("ACME.L"), F.lit("ZZ")), F.col("payload_id") + 1))
-    parts = [payloads.chart_quotes(landed(spark, json.dumps(CHART), "{}")), requests.nasdaq_quotes(nasdaq), requests.cnbc_quotes(landed(spark, json.dumps(CNBC), "bad"))]
-    return payloads.first_quote(*(p.select("symbol", "currency", "price", "previous_close", "change_percent") for p in parts))
-
-
-def publishers(spark, d):
-    names = ("Reuters", "The Motley Fool on MSN", "Barron's | Markets", "www.acme.org", "Some Paper", "CNBC - News", None)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string").select("i", requests.publisher_domain(F.col("name")).alias("domain"))
-
-
 def stored_stories(spark, d):
     """The clusters of each source's articles against the first documents as stored ones, by what became of them."""
     raw = b.table(spark, d, "documents").select(F.col("source").alias("short_name"), F.lit(None).cast("string").alias("company_name"), F.lit(None).cast("array<string>").alias("aliases"), F.col("doc_id").alias("arrival"), F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit("https://e.com/"), F.md5("text")).alias("url"), F.lit(AS_OF).alias("published_at"), *(F.lit(None).cast("string").alias(c) for c in ("description", "image", "source", "source_domain")), F.lit("FINVIZ").alias("source_type"))
@@ -237,13 +207,13 @@ QUERIES = {
     for f in (
         scoped_feed, scoped_search, latest_headlines, symbol_lists, lookup_in_order, requested_quotes, unresolved, following, price_history, sentiment_history, events_page, flags, stock_rows, health, outcomes, ticker_panels,
         page_by_impact, page_layout, unseen, merged_moves, search_with_lookup, completion, display_formats, listing_ranks, first_candidates, looked_up, work_list, request_windows, source_list,
-        image_patch, catalogue_growth, watch_changes, rss_articles, filings, quote_chain, publishers, stored_stories,
+        image_patch, catalogue_growth, watch_changes, stored_stories,
     )
 }
 
 N, W, D31, D17 = b.NEWS, b.WATCHLIST, "TIMESTAMP '2024-01-31'", "TIMESTAMP '2024-01-17'"
 CANDIDATES = """(SELECT l_suppkey::VARCHAR AS short_name, l_linenumber % 2 AS search, l_orderkey AS place, (l_partkey % 40) || ['', '.L', '.DE'][l_partkey % 3 + 1] AS symbol, ['EQUITY', 'etf', 'OPTION', 'INDEX'][l_partkey % 4 + 1] AS quote_type,
-  ['NMS', 'LSE', 'GER', 'XXX', 'TOR'][l_orderkey % 5 + 1] AS exchange, ['Apple Inc', 'Alphabet Inc', 'Shell plc', 'Leveraged Apple 2x ETP', 'Apple Incorporated'][l_partkey % 5 + 1] AS long_name FROM lineitem WHERE l_orderkey % 7 = 0)"""
+  ['NMS', 'LSE', 'GER', 'XXX', 'TOR'][l_orderkey % 5 + 1] AS exchange, ['Apple Inc', 'Alphabet Inc', 'Shell plc', 'Leveraged Apple 2x ETP', 'Apple Incorporated'][l_partkey % 5 + 1] AS long_name FROM lineitem)"""
 COUNTS = f"(SELECT short_name, count(*) AS article_count, avg(sentiment) AS avg_sentiment FROM {N} WHERE publish_time >= {D17} GROUP BY 1)"
 RECENT = f"(SELECT short_name, avg(m) AS recent FROM (SELECT short_name, publish_time::DATE AS day, avg(sentiment) AS m FROM {N} WHERE sentiment IS NOT NULL GROUP BY 1, 2) WHERE day >= DATE '2024-01-28' GROUP BY 1)"
 PAGED = f"(SELECT id, source AS page, impact, image, id AS pos FROM {N} WHERE publish_time >= TIMESTAMP '2024-01-30')"
@@ -265,8 +235,8 @@ ORACLES = {
     "health": f"SELECT (SELECT count(*) FROM customer) AS stocks, (SELECT count(*) FROM {W}) AS watched, (SELECT count(*) FROM {N} WHERE publish_time >= {D17}) AS articles",
     "outcomes": "SELECT CASE WHEN n_regionkey < 3 AND n_nationkey % 2 = 0 THEN 'updated' ELSE 'failed' END AS outcome, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS symbols FROM nation GROUP BY 1",
     "ticker_panels": f"""WITH m AS (SELECT short_name, price_change_percent::DOUBLE AS p, coalesce(recent, avg_sentiment) AS s FROM {b.STOCKS} LEFT JOIN {COUNTS} USING (short_name) LEFT JOIN {RECENT} USING (short_name) WHERE price IS NOT NULL)
-        (SELECT 'gainers' AS panel, short_name, p AS value FROM m WHERE p > 0 ORDER BY p DESC, short_name LIMIT 6) UNION ALL (SELECT 'losers', short_name, p FROM m WHERE p < 0 ORDER BY p, short_name LIMIT 6)
-        UNION ALL (SELECT 'positive', short_name, s FROM m WHERE s > 0 ORDER BY s DESC, short_name LIMIT 6) UNION ALL (SELECT 'negative', short_name, s FROM m WHERE s < 0 ORDER BY s, short_name LIMIT 6)""",
+        (SELECT 'gainers' AS panel, short_name, round(p, 9) AS value FROM m WHERE p > 0 ORDER BY p DESC, short_name LIMIT 6) UNION ALL (SELECT 'losers', short_name, round(p, 9) FROM m WHERE p < 0 ORDER BY p, short_name LIMIT 6)
+        UNION ALL (SELECT 'positive', short_name, round(s, 9) FROM m WHERE s > 0 ORDER BY s DESC, short_name LIMIT 6) UNION ALL (SELECT 'negative', short_name, round(s, 9) FROM m WHERE s < 0 ORDER BY s, short_name LIMIT 6)""",
     "page_by_impact": f"SELECT id, page, row_number() OVER (PARTITION BY page ORDER BY CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pos)::INT AS place FROM {PAGED}",
     "page_layout": f"""WITH p AS (SELECT *, first_value(id) OVER (PARTITION BY page ORDER BY image IS NULL, pos) AS lead FROM {PAGED}), q AS (SELECT *, CASE WHEN image IS NOT NULL AND id <> lead THEN row_number() OVER (PARTITION BY page, image IS NOT NULL AND id <> lead ORDER BY pos) END AS k FROM p)
         SELECT id, page, CASE WHEN id = lead THEN 'lead' WHEN k <= 2 THEN 'featured' ELSE 'rest' END AS slot FROM q""",
@@ -294,8 +264,4 @@ ORACLES = {
     "catalogue_growth": f"""WITH p AS (SELECT (s_suppkey * 40)::VARCHAR AS short_name, s_name AS name, 'ETF' AS type, CASE WHEN s_suppkey % 2 = 0 THEN 'GBP' END AS c FROM supplier WHERE s_suppkey % 9 > 0)
         SELECT coalesce(s.short_name, p.short_name) AS short_name, coalesce(p.name, s.name) AS name, coalesce(p.type, s.type) AS type, CASE WHEN s.short_name IS NULL THEN c ELSE coalesce(c, 'USD') END AS currency_code FROM {b.STOCKS} s FULL JOIN p ON p.short_name = s.short_name""",
     "watch_changes": f"SELECT short_name, position FROM {W} UNION ALL SELECT 'X1', max(position) + 1 FROM {W}",
-    "rss_articles": "SELECT * FROM (VALUES (0::INT, 0::INT, 'Shell’s profit & loss', 'https://www.reuters.com/a', 'Reuters', 'reuters.com', '2026-01-10 09:30'), (0, 2, 'Bing hit', 'https://a.com/x', 'a.com', 'a.com', NULL)) v(payload_id, ordinal, title, url, source, source_domain, published)",
-    "filings": "SELECT * FROM (VALUES (0::INT, 'Acme filed 8-K/A: Current report', 'https://sec.gov/1', 'Current report', '2026-01-01'), (2, 'Acme filed 424B5', 'https://sec.gov/3', NULL, '2026-01-03')) v(ordinal, title, url, description, filed)",
-    "quote_chain": "SELECT * FROM (VALUES ('X.L', 'GBP', 33.235::DOUBLE, 33.0::DOUBLE, 0.712::DOUBLE), ('ACME', 'USD', 10.5, 10.25, 2.44), ('SHEL-GB', 'GBP', 33.235, 33.0, 0.71)) v(symbol, currency, price, previous_close, change_percent)",
-    "publishers": "SELECT * FROM (VALUES (0::INT, 'reuters.com'), (1, 'fool.com'), (2, 'barrons.com'), (3, 'acme.org'), (4, ''), (5, 'cnbc.com'), (6, '')) v(i, domain)",
 }

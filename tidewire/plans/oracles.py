@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewire.functions.normalize import STOP_WORDS, TRACKING
-from tidewire.plans import lookups, reviews, sentiments
+from tidewire.plans import landed, lookups, reviews, sentiments
 from tidewire.plans.bindings import NEWS, PRICES, STOCKS, WATCHLIST
 
 SINCE, TODAY = "TIMESTAMP '2024-01-17'", "DATE '2024-01-31'"
@@ -83,4 +83,4 @@ ORACLES = {
         CASE WHEN sentiment > 0.2 THEN 'positive' WHEN sentiment < -0.2 THEN 'negative' ELSE 'neutral' END AS band FROM (SELECT *, date_diff('second', date_trunc('second', publish_time), TIMESTAMP '2024-01-31') AS s FROM {NEWS})""",
     "url_canonical": f"SELECT page_id, canonical, sha256(canonical)[1:32] AS url_hash, domain FROM {CANONICAL}",
     "title_key": f"SELECT doc_id, title, array_to_string(k, ' ') AS tokens, CASE WHEN len(list_distinct(k)) >= 4 THEN array_to_string(list_sort(list_distinct(k))[1:12], ' ') ELSE '' END AS title_key FROM {TOKENS}",
-} | reviews.ORACLES | lookups.ORACLES | sentiments.ORACLES
+} | reviews.ORACLES | lookups.ORACLES | sentiments.ORACLES | landed.ORACLES

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import normalize
 from tidewire.operators import catalogue, feed, insights, prices, stories, upserts
 from tidewire.plans import bindings as b
-from tidewire.plans import lookups, reviews, sentiments
+from tidewire.plans import landed, lookups, reviews, sentiments
 
 #: Queries take the time of asking as a parameter; here it is fixed.
 AS_OF = datetime(2024, 1, 31)
@@ -224,4 +224,4 @@ QUERIES = {
         diversify, count_by_stock, source_breakdown, sentiment_rollup, sentiment_deltas, movers, insights_panels, popular, catalogue_search, sectors, symbols_in_sector, watchlist_quotes, catalogue_best_listing,
         price_series, latest_price, price_changes, quotes, close_as_of, upsert_latest, insert_absent, quote_patch, retention, market_open, age_bucket, url_canonical, title_key, story_clusters, story_reasons,
     )
-} | reviews.QUERIES | lookups.QUERIES | sentiments.QUERIES
+} | reviews.QUERIES | lookups.QUERIES | sentiments.QUERIES | landed.QUERIES

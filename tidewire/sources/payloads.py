@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import normalize
+from tidewire.sources.html import image_of, quote_table, tokens  # noqa: F401
 
 #: Form types whose filings are news.
 MATERIAL = ("8-K", "10-K", "10-Q", "6-K", "20-F", "40-F", "425", "DEF 14A", "DEFM14A", "SC 13D", "SC TO", "S-1", "S-3", "424B")
-#: Meta tags that name a page's image, in the order in which they count.
-IMAGE_TAGS = (("property", "og:image"), ("property", "og:image:secure_url"), ("name", "twitter:image"), ("name", "twitter:image:src"), ("itemprop", "image"))
-#: Pixels of the smallest inline image that counts, and inline images looked at.
-SMALLEST_IMAGE, MOST_IMAGES = 200, 25
 #: Entities of running text.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "pound": "£", "euro": "€", "amp": "&"}
 CHART = "chart struct<result:array<struct<meta:struct<symbol:string,exchangeName:string,currency:string,regularMarketPrice:double,previousClose:double,chartPreviousClose:double>,timestamp:array<bigint>,indicators:struct<quote:array<struct<close:array<double>>>>>>>"
@@ -37,17 +34,26 @@ def unescaped(text: Column) -> Column:
     return out
 
 
+RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string,source:struct<_VALUE:string,_url:string>>>>"
+ATOM_FIELDS = "`filing-type`:string,`filing-href`:string,`filing-date`:string,`form-name`:string"
+ATOM = f"entry array<struct<{ATOM_FIELDS},link:struct<_href:string>,content:struct<{ATOM_FIELDS}>>>"
+
+
+def parsed(payload: Column, schema: str) -> Column:
+    """An XML payload by its schema: prefixes of names don't count, attributes begin with _; what is no XML has nulls."""
+    return F.from_xml(payload, schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+
+
 def rss_items(payloads: DataFrame, *, most: int = 100, source_type: str = "GOOGLE_NEWS") -> DataFrame:
     """payload_id and payload (RSS) to articles, the first ``most`` items; items without title or link go.
 
     A trailing " - Publisher" that names the publisher is cut from the title. Payloads that are no XML give no rows.
     """
-    items = F.slice(F.regexp_extract_all("payload", F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), 1), 1, most)
-    plain = lambda c: F.trim(unescaped(F.regexp_replace(c, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
-    tag = lambda name: plain(F.regexp_extract("item", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1))
+    items = F.slice(parsed(F.col("payload"), RSS)["channel"]["item"], 1, most)
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
     rows = payloads.select("payload_id", F.posexplode(items).alias("ordinal", "item")).select(
-        "payload_id", "ordinal", tag("title").alias("title"), tag("link").alias("url"), tag("pubDate").alias("published"), stripped(tag("description"), 600).alias("description"), tag("source").alias("source"), F.regexp_extract("item", r'<source\b[^>]*url="([^"]*)"', 1).alias("source_url")
-    )
+        "payload_id", "ordinal", plain(F.col("item.title")).alias("title"), plain(F.col("item.link")).alias("url"), plain(F.col("item.pubDate")).alias("published"), stripped(unescaped(plain(F.col("item.description"))), 600).alias("description"), plain(F.col("item.source._VALUE")).alias("source"), plain(F.col("item.source._url")).alias("source_url"),
+    )
     ending = F.concat(F.lit(" - "), F.col("source"))
     title = F.when((F.col("source") != "") & F.endswith("title", ending), F.expr("left(title, length(title) - length(source) - 3)")).otherwise(F.col("title"))
     unwrapped = F.when(F.col("url").rlike("[?&]url=http"), F.url_decode(F.regexp_extract("url", "[?&]url=([^&]+)", 1))).otherwise(F.col("url"))
@@ -63,26 +69,12 @@ def search_news(payloads: DataFrame) -> DataFrame:
     return rows.where("n.title <> '' AND n.link <> ''").select("payload_id", "ordinal", F.col("n.title").alias("title"), F.col("n.link").alias("url"), F.timestamp_seconds("n.providerPublishTime").alias("published_at"), F.array_max(widths)["url"].alias("image"), F.col("n.publisher").alias("source"), normalize.domain_of(F.col("n.link")).alias("source_domain"), F.lit("YAHOO_SEARCH").alias("source_type"))
 
 
-def quote_table(payloads: DataFrame, as_of) -> DataFrame:
-    """Table rows whose stamp is a date and time, Today and time, or a time that inherits the last date; New York time."""
-    row = r'(?s)<tr\b[^>]*>\s*<td\b[^>]*>\s*(.*?)\s*</td>.*?<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>(.*?)</tr>'
-    parts = lambda k: F.regexp_extract_all("payload", F.lit(row), k)
-    rows = payloads.select("payload_id", F.posexplode(F.arrays_zip(parts(1).alias("stamp"), parts(2).alias("url"), parts(3).alias("title"), parts(4).alias("rest"))).alias("ordinal", "r")).select("payload_id", "ordinal", "r.*")
-    local = F.from_utc_timestamp(F.lit(as_of).cast("timestamp"), "America/New_York")
-    day_text, time_text = F.regexp_extract("stamp", r"^([A-Za-z]{3}-\d{2}-\d{2})", 1), F.regexp_extract("stamp", r"(\d{1,2}:\d{2}[AP]M)$", 1)
-    day = F.when(day_text != "", F.to_date(F.try_to_timestamp(day_text, F.lit("MMM-dd-yy")))).when(F.col("stamp").startswith("Today"), F.to_date(local)).when(F.col("stamp").startswith("Yesterday"), F.date_sub(F.to_date(local), 1))
-    carried = F.last(day, ignorenulls=True).over(Window.partitionBy("payload_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))
-    at = F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", carried.cast("string"), time_text), F.lit("yyyy-MM-dd h:mma")), "America/New_York")
-    url = F.when(F.col("url").startswith("/"), F.concat(F.lit("https://finviz.com"), F.col("url"))).otherwise(F.col("url"))
-    return rows.withColumn("published_at", at).select("payload_id", "ordinal", stripped(F.col("title")).alias("title"), url.alias("url"), "published_at", F.nullif(F.regexp_replace(stripped(F.col("rest")), r"^\(|\)$", ""), F.lit("")).alias("source"), normalize.domain_of(url).alias("source_domain"), F.lit("FINVIZ").alias("source_type")).where("title <> '' AND url <> ''")
-
-
 def filings(payloads: DataFrame, company: Column, most: int = 25) -> DataFrame:
     """Atom entries whose form begins as a material one does; the title is company, filed, form and the form's name."""
-    entries = F.slice(F.regexp_extract_all("payload", F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), 1), 1, most)
-    inner = lambda name: F.trim(unescaped(F.regexp_extract("entry", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)))
+    entries = F.slice(parsed(F.col("payload"), ATOM)["entry"], 1, most)
+    inner = lambda name: F.trim(F.coalesce(F.col("entry")[name], F.col("entry.content")[name], F.lit("")))
     own = payloads.select("payload_id", company.alias("company"), F.posexplode(entries).alias("ordinal", "entry"))
-    link = F.coalesce(F.nullif(inner("filing-href"), F.lit("")), F.regexp_extract("entry", r'<link\b[^>]*href="([^"]*)"', 1))
+    link = F.coalesce(F.nullif(inner("filing-href"), F.lit("")), F.col("entry.link._href"))
     rows = own.select("payload_id", "company", "ordinal", inner("filing-type").alias("form"), inner("form-name").alias("form_name"), link.alias("url"), normalize.parsed_time(inner("filing-date")).alias("published_at"))
     title = F.concat("company", F.lit(" filed "), "form", F.when(F.col("form_name") != "", F.concat(F.lit(": "), "form_name")).otherwise(""))
     kept = rows.where(F.upper("form").rlike("^(?:" + "|".join(MATERIAL) + ")") & (F.col("url") != ""))
@@ -119,12 +111,6 @@ def progress(lines: DataFrame, schema: str, key: str) -> DataFrame:
     return rows.groupBy(F.col(f"r.{key}").alias("__key")).agg(F.max_by("r", "line_no").alias("r")).select("r.*")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, between quotes of either kind or bare; null without it."""
-    found = F.regexp_extract_all(tag, F.lit(rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
-    return unescaped(F.regexp_replace(F.get(found, F.lit(0)), "^[\"']|[\"']$", ""))
-
-
 def joined_url(base: Column, url: Column) -> Column:
     """A URL as it is meant on a page of the base's: absolute, of its scheme, of its host, or of its folder."""
     origin, folder = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
@@ -133,17 +119,8 @@ def joined_url(base: Column, url: Column) -> Column:
 
 
 def page_image(html: Column, base: Column) -> Column:
-    """The first meta image, by IMAGE_TAGS, that is no SVG; else the first inline one of MOST_IMAGES that is neither
-    SVG nor data nor stated to be too small. Absolute by the page's own URL ``base``."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
-    fit = lambda url: F.when((F.trim(url) != "") & ~F.trim(url).endswith(".svg"), F.trim(url))
-    tagged = lambda name, value: F.get(F.filter(metas, lambda m: attribute(m, name) == value), F.lit(0))
-    named = [fit(attribute(tagged(name, value), "content")) for name, value in IMAGE_TAGS]
-    small = lambda i, name: F.coalesce(F.try_to_number(F.regexp_extract(F.trim(attribute(i, name)), r"^(\d{1,9})(?:px)*$", 1), F.lit("999999999")) < SMALLEST_IMAGE, F.lit(False))
-    images = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), 1), 1, MOST_IMAGES)
-    source = lambda i: F.coalesce(F.nullif(attribute(i, "src"), F.lit("")), attribute(i, "data-src"))
-    inline = F.get(F.filter(F.transform(F.filter(images, lambda i: ~small(i, "width") & ~small(i, "height")), source), lambda u: fit(u).isNotNull() & ~u.startswith("data:")), F.lit(0))
-    return joined_url(base, F.coalesce(*named, F.trim(inline)))
+    """A page's image, absolute by the page's own URL ``base``."""
+    return joined_url(base, image_of(tokens(html)))
 
 
 def image_backfill(backlog: DataFrame, pages: DataFrame) -> DataFrame:
