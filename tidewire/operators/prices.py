@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators import scans
+
 
 def series(prices: DataFrame) -> DataFrame:
     """Daily bars, and snapshots of the days that have none."""
@@ -17,12 +19,11 @@ def series(prices: DataFrame) -> DataFrame:
 def as_of(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """J04 for many requests: the last close at or before each (short_name, ts), the larger id at equal times.
 
-    Requests and prices share one sort by symbol and time, so no pair of them is made.
+    Requests and prices share one order by symbol and time, so no pair of them is made; a symbol of any size is scanned in segments.
     """
     asked = requests.select("short_name", "ts", F.lit(1).alias("kind"), F.col("request_id").alias("id"), F.lit(None).cast("double").alias("close"))
     known = prices.select("short_name", "ts", F.lit(0).alias("kind"), "id", F.col("close").cast("double").alias("close"))
-    order = Window.partitionBy("short_name").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = known.unionByName(asked).withColumn("close", F.last("close", ignorenulls=True).over(order))
+    filled = scans.carried(known.unionByName(asked), "short_name", ["ts", "kind", "id"], "close")
     return filled.where("kind = 1").select(F.col("id").alias("request_id"), "short_name", "ts", "close")
 
 
@@ -34,9 +35,8 @@ def latest(prices: DataFrame) -> DataFrame:
 
 def changes(prices: DataFrame) -> DataFrame:
     """Snapshots whose close differs from the one before."""
-    order = Window.partitionBy("short_name").orderBy("ts")
-    before = F.lag("close").over(order)
-    return prices.where("interval = 'snap'").withColumn("before", before).where(F.col("before").isNull() | (F.abs(F.col("close") - F.col("before")) > 1e-9)).select("short_name", "ts", "close", "before")
+    snaps = scans.with_previous(prices.where("interval = 'snap'"), "short_name", ["ts"], "close", "before")
+    return snaps.where(F.col("before").isNull() | (F.abs(F.col("close") - F.col("before")) > 1e-9)).select("short_name", "ts", "close", "before")
 
 
 def quotes(points: DataFrame) -> DataFrame:

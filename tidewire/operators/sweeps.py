@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators import scans
+
 #: Misses in a row that end a sweep, the least score of a name, and the types worth publishing.
 MISSES, NAME_FLOOR = 40, 85
 TYPES = {"EQUITY": "STOCK", "MUTUALFUND": "FUND"}
@@ -14,15 +16,11 @@ KEPT = ("STOCK", "ETF", "FUND", "INDEX")
 def swept(rows: DataFrame, *, misses: int = MISSES) -> DataFrame:
     """The rows of each sweep, in order of ordinal, up to the one that completes a run of misses, with the run's length so far.
 
-    Runs are the islands between hits: the count of hits so far names one. A null ``resolved`` is a miss.
+    A null ``resolved`` is a miss. A sweep of any size is scanned in segments; its end is the least ordinal of a full run.
     """
-    order = Window.partitionBy("sweep").orderBy("ordinal")
-    hit = F.coalesce("resolved", F.lit(False))
-    islands = rows.withColumn("island", F.sum(hit.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("sweep", "island").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    runs = islands.withColumn("streak", F.sum((~hit).cast("long")).over(run))
-    ended = F.max((F.col("streak") >= misses).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("ended", F.coalesce(ended, F.lit(0))).where("ended = 0").drop("island", "ended")
+    runs = scans.with_streaks(rows, "sweep", ["ordinal"], F.col("resolved"), "streak")
+    ends = runs.where(F.col("streak") >= misses).groupBy(F.col("sweep").alias("ended")).agg(F.min("ordinal").alias("last"))
+    return runs.join(ends, runs["sweep"].eqNullSafe(ends["ended"]), "left").where("last IS NULL OR ordinal <= last").drop("ended", "last")
 
 
 def publishable(records: DataFrame) -> DataFrame:
