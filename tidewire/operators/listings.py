@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from tidewire.functions import normalize
 from tidewire.functions.similarity import token_set_ratio
+from tidewire.operators import upserts
 
 #: Ranks of exchanges, lower is better, what others get, and what a number on London's international board adds.
 EXCHANGE_RANKS = {
@@ -91,6 +92,34 @@ def resolved(candidates: DataFrame, quotes: DataFrame) -> DataFrame:
     return met.groupBy("short_name").agg(best.alias("b")).select("short_name", "b.*")
 
 
+def with_resolutions(stocks: DataFrame, candidates: DataFrame, quotes: DataFrame, as_of) -> DataFrame:
+    """The stocks, of which those without a traded symbol take the listing that their candidates resolve to, and those
+    with a symbol but without a sector take that of their best candidate, if it has one. What is known is never resolved again.
+
+    candidates: as of ``ranked``, with sector and industry.
+    """
+    unknown = stocks.where(F.coalesce("yahoo_symbol", F.lit("")) == "").select("short_name")
+    found = resolved(candidates.join(unknown, "short_name", "left_semi"), quotes)
+    listed = found.select("short_name", F.col("symbol").alias("yahoo_symbol"), "exchange", F.col("currency").alias("quote_currency"), F.lit(as_of).cast("timestamp").alias("resolved_at"))
+    known = upserts.patched(stocks.withColumn("yahoo_symbol", F.nullif("yahoo_symbol", F.lit(""))), listed, "short_name", fill=["yahoo_symbol"], keep=["exchange", "quote_currency", "resolved_at"])
+    bare = known.where("yahoo_symbol IS NOT NULL AND coalesce(sector, '') = ''").select("short_name", F.col("yahoo_symbol").alias("traded"))
+    picks = ranked(candidates.join(bare, "short_name"))
+    # a newly resolved listing says its own sector, a known one that of the best candidate
+    met = picks.join(found.select("short_name", F.col("symbol").alias("chosen")), "short_name", "left").where(F.coalesce(F.col("symbol") == F.col("chosen"), F.col("pick") == 1))
+    named = met.where("sector <> ''").select("short_name", "sector", F.nullif("industry", F.lit("")).alias("industry"))
+    return upserts.patched(known, named, "short_name", overwrite=["sector"], keep=["industry"])
+
+
+def refreshed(stocks: DataFrame, watchlist: DataFrame, quotes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """The stocks with the quotes of the followed ones, and short_name and ok of each followed stock; one that has no
+    symbol or no quote fails alone. quotes: symbol, currency, price, change, change_percent."""
+    priced = quotes.where("price IS NOT NULL").select(F.col("symbol").alias("yahoo_symbol"), F.col("currency").alias("quote_currency"), "price", F.col("change").alias("price_change"), F.col("change_percent").alias("price_change_percent"))
+    followed = watchlist.select("short_name").join(stocks.select("short_name", "yahoo_symbol"), "short_name", "left")
+    patch = followed.join(priced, "yahoo_symbol").withColumn("price_updated_at", F.lit(as_of).cast("timestamp")).drop("yahoo_symbol")
+    told = followed.join(patch.select("short_name", F.lit(True).alias("ok")).distinct(), "short_name", "left").select("short_name", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return upserts.patched(stocks, patch, "short_name", overwrite=["price", "price_change", "price_change_percent", "price_updated_at"], keep=["quote_currency"]), told
+
+
 def looked_up(hits: DataFrame) -> DataFrame:
     """Hits of searches (query, place, symbol, quote_type, long_name, other_name, exchange) as rows of the catalogue, the first of each symbol."""
     kind, symbol = F.upper(F.coalesce("quote_type", F.lit(""))), normalize.clean_symbol(F.col("symbol"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators import listings, rollups
 from tidewire.plans import bindings as b
+from tidewire.shared import shared_dir
 from tidewire.sources import html, payloads, requests
 
 AS_OF = datetime(2024, 1, 31)
@@ -111,9 +114,35 @@ def publishers(spark, d):
     return b.table(spark, d, "supplier").select(k, requests.publisher_domain(F.replace(name, F.lit("{}"), k.cast("string"))).alias("domain"))
 
 
-QUERIES = {f.__name__: f for f in (rss_articles, filings, quote_rows, page_parts, quote_chain, publishers)}
+def stored_rollup(spark, d):
+    """The daily roll-up of all articles after two batches of changes: new articles, then late, changed and withdrawn scores."""
+    path = f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}"
+    k, rows = F.col("id"), b.news(spark, d).select("id", "short_name", "publish_time", "sentiment")
+    early = F.when(k % 3 != 0, F.col("sentiment"))
+    final = F.when(k % 5 == 0, -F.col("sentiment")).when(k % 7 != 0, F.col("sentiment"))
+    rollups.applied(spark, path, rows.withColumns({"before": F.lit(None).cast("double"), "sentiment": early}))
+    rollups.applied(spark, path, rows.withColumns({"before": early, "sentiment": final}).where(~F.col("before").eqNullSafe(F.col("sentiment"))))
+    # sums that are taken back leave rounding behind
+    return rollups.daily(rollups.stored(spark, path)).withColumn("avg_sentiment", F.round("avg_sentiment", 6))
+
+
+def watch_refresh(spark, d):
+    """The followed customers' quotes, and which of them have one."""
+    k = F.col("short_name").cast("int")
+    stocks = b.stocks(spark, d).select("short_name", F.when(k % 6 != 0, F.concat(F.lit("C"), "short_name")).alias("yahoo_symbol"), F.lit("USD").alias("quote_currency"), F.col("price").cast("double").alias("price"), F.lit(0.0).alias("price_change"), F.lit(0.0).alias("price_change_percent"), F.lit(None).cast("timestamp").alias("price_updated_at"))
+    watched = b.stocks(spark, d).where(k % 4 == 0).select("short_name").unionByName(spark.createDataFrame([("none",)], "short_name string"))
+    quotes = quote_chain(spark, d).withColumn("change", F.lit(0.25)).where("symbol NOT LIKE '%8'")
+    kept, told = listings.refreshed(stocks, watched, quotes, AS_OF)
+    return kept.join(told, "short_name", "full").select("short_name", "quote_currency", "price", "price_change", F.col("price_updated_at").isNotNull().alias("updated"), "ok")
+
+
+QUERIES = {f.__name__: f for f in (rss_articles, filings, quote_rows, page_parts, quote_chain, publishers, stored_rollup, watch_refresh)}
 
 LIST = lambda xs: "[" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in xs) + "]"
+CHAIN = """WITH c AS (SELECT c_custkey AS k, (c_custkey * 37 % 9000 + 100)::DOUBLE AS p, CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE 1 END::DOUBLE AS unit FROM customer),
+    q AS (SELECT k, CASE WHEN k % 3 <> 1 THEN CASE WHEN k % 2 = 0 THEN 'GBP' ELSE 'USD' END WHEN k % 10 <> 0 THEN 'USD' WHEN k % 2 = 0 THEN 'GBP' ELSE 'EUR' END AS currency,
+      round(CASE WHEN k % 3 <> 1 THEN (p + CASE WHEN k % 7 <> 0 THEN 0.5::DOUBLE ELSE 0 END) / unit WHEN k % 10 <> 0 THEN p / 100 ELSE p / unit END, 6) AS price, round(CASE WHEN k % 3 <> 1 THEN (p - 3) / unit WHEN k % 10 <> 0 THEN p / 100 - 0.25::DOUBLE ELSE (p - 3) / unit END, 6) AS previous_close FROM c)
+    SELECT 'C' || k AS symbol, currency, price, previous_close, CASE WHEN k % 3 <> 1 THEN round((price - previous_close) / previous_close * 100, 3) WHEN k % 10 <> 0 THEN 2.44::DOUBLE ELSE 0.71::DOUBLE END AS change_percent FROM q"""
 ORACLES = {
     "rss_articles": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY short_name ORDER BY id) - 1 AS ordinal FROM {b.NEWS})
         SELECT short_name::BIGINT AS payload_id, ordinal::INT AS ordinal, title || ' & more' AS title, url || '?a=1&b=2' AS url, source, source || '.com' AS source_domain, 'All about ' || source AS description, strftime(publish_time, '%Y-%m-%d %H:%M:%S') AS published
@@ -122,9 +151,12 @@ ORACLES = {
         SELECT o_custkey AS payload_id, ordinal::INT AS ordinal, 'Customer ' || o_custkey || ' filed ' || form || coalesce(': ' || name, '') AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'https://sec.gov/' || o_orderkey ELSE 'https://sec.gov/l/' || o_orderkey END AS url, name AS description, strftime(o_orderdate, '%Y-%m-%d') AS filed
         FROM n WHERE ordinal < 25 AND form NOT IN ('4', 'S-4') AND o_orderkey % 10 <> 0""",
     "quote_rows": f"""SELECT short_name::BIGINT AS payload_id, title || ' & more' AS title, CASE WHEN id % 4 = 0 THEN 'https://finviz.com/news/' || id ELSE url || '?x=1&y=2' END AS url, source, CASE WHEN id % 4 = 0 THEN 'finviz.com' ELSE source || '.com' END AS source_domain, strftime(publish_time, '%Y-%m-%d %H:%M') AS published FROM {b.NEWS}""",
-    "quote_chain": """WITH c AS (SELECT c_custkey AS k, (c_custkey * 37 % 9000 + 100)::DOUBLE AS p, CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE 1 END::DOUBLE AS unit FROM customer),
-        q AS (SELECT k, CASE WHEN k % 3 <> 1 THEN CASE WHEN k % 2 = 0 THEN 'GBP' ELSE 'USD' END WHEN k % 10 <> 0 THEN 'USD' WHEN k % 2 = 0 THEN 'GBP' ELSE 'EUR' END AS currency,
-          round(CASE WHEN k % 3 <> 1 THEN (p + CASE WHEN k % 7 <> 0 THEN 0.5::DOUBLE ELSE 0 END) / unit WHEN k % 10 <> 0 THEN p / 100 ELSE p / unit END, 6) AS price, round(CASE WHEN k % 3 <> 1 THEN (p - 3) / unit WHEN k % 10 <> 0 THEN p / 100 - 0.25::DOUBLE ELSE (p - 3) / unit END, 6) AS previous_close FROM c)
-        SELECT 'C' || k AS symbol, currency, price, previous_close, CASE WHEN k % 3 <> 1 THEN round((price - previous_close) / previous_close * 100, 3) WHEN k % 10 <> 0 THEN 2.44::DOUBLE ELSE 0.71::DOUBLE END AS change_percent FROM q""",
+    "quote_chain": CHAIN,
+    "stored_rollup": f"""WITH n AS (SELECT short_name, publish_time::DATE AS date, CASE WHEN id % 5 = 0 THEN -sentiment WHEN id % 7 <> 0 THEN sentiment END AS s FROM {b.NEWS})
+        SELECT short_name, date, round(avg(s), 6) AS avg_sentiment, count(*) AS article_count, count(*) FILTER (s > 0.2::DOUBLE) AS positive_count, count(*) FILTER (s < -0.2::DOUBLE) AS negative_count, count(*) FILTER (s BETWEEN -0.2::DOUBLE AND 0.2::DOUBLE) AS neutral_count FROM n WHERE s IS NOT NULL GROUP BY 1, 2""",
+    "watch_refresh": f"""WITH q AS ({CHAIN}), s AS (SELECT short_name, CASE WHEN short_name::INT % 6 <> 0 THEN 'C' || short_name END AS y, price::DOUBLE AS price, short_name::INT % 4 = 0 AS watched FROM {b.STOCKS}),
+        r AS (SELECT s.*, q.currency, q.price AS quoted FROM s LEFT JOIN q ON s.watched AND q.symbol = s.y AND q.symbol NOT LIKE '%8')
+        SELECT short_name, coalesce(currency, 'USD') AS quote_currency, coalesce(quoted, price) AS price, CASE WHEN quoted IS NULL THEN 0 ELSE 0.25 END::DOUBLE AS price_change, quoted IS NOT NULL AS updated, CASE WHEN watched THEN quoted IS NOT NULL END AS ok FROM r
+        UNION ALL SELECT 'none', NULL, NULL, NULL, false, false""",
     "publishers": f"SELECT s_suppkey, replace({LIST(DOMAINS)}[s_suppkey % {len(DOMAINS)} + 1], '{{}}', s_suppkey::VARCHAR) AS domain FROM supplier",
 }
