@@ -28,8 +28,10 @@ LEAST_WORDS = 20
 SEED, PERCENT = 7, 25
 #: Text bytes that DuckDB takes at once; a longer text goes in pieces of about so many characters.
 PIECE = 1 << 19
+#: Documents that are scored at once.
+ROWS = 200
 SEPARATORS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
-HELD = StructField("held", ArrayType(StructType([StructField("bucket", IntegerType()), StructField("n", LongType())])))
+HELD = StructField("held", ArrayType(StructType([StructField("bucket", IntegerType()), StructField("n", IntegerType())])))
 SEPARATOR = re.compile(f"[{re.escape(SEPARATORS)}]")
 
 #: A piece of a text that goes on begins with the last word of the piece before, which counts in its pair only.
@@ -48,7 +50,7 @@ def crcs(grams: pa.ChunkedArray) -> pa.Array:
 
 def counter() -> duckdb.DuckDBPyConnection:
     """A connection of one task: one thread, little memory and no folder of its own."""
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
     con.create_function("crc", crcs, ["VARCHAR"], "UINTEGER", type="arrow")
     return con
 
@@ -74,14 +76,14 @@ def counts_of(con: duckdb.DuckDBPyConnection, numbers: list[int], goes_on: list[
     """number, bucket and n, in order, of the n-grams of texts."""
     con.register("pieces", pa.table({"number": pa.array(numbers, pa.int32()), "goes_on": pa.array(goes_on, pa.bool_()), "text": pa.array(texts, pa.string()) if isinstance(texts, list) else texts}))
     found = con.execute(COUNTS).fetchnumpy()
+    con.unregister("pieces")
     return found["number"], found["bucket"], found["n"]
 
 
 def held_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns but text, and ``held``: the buckets of each text's n-grams and how often each comes."""
-    con = counter()
-    for batch in batches:
-        for part in chunks(batch, "text", PIECE):
+    with counter() as con:
+        for part in (p for batch in batches for p in chunks(batch, "text", PIECE)):
             texts = part.column("text")
             if part.num_rows == 1 and len(own := texts[0].as_py() or "") > PIECE:
                 total = np.zeros(BUCKETS, np.int64)
@@ -91,7 +93,7 @@ def held_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, bucket, n = np.zeros(np.count_nonzero(total), np.int32), np.flatnonzero(total), total[total > 0]
             else:
                 number, bucket, n = counts_of(con, list(range(part.num_rows)), [False] * part.num_rows, texts.fill_null(""))
-            held = pa.ListArray.from_arrays(pa.array(np.searchsorted(number, np.arange(part.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"]))
+            held = pa.ListArray.from_arrays(pa.array(np.searchsorted(number, np.arange(part.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int32())], ["bucket", "n"]))
             names = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), held], [*names, "held"])
 
@@ -124,7 +126,7 @@ def weighed(held: DataFrame, gain: np.ndarray) -> DataFrame:
     """The other columns, n_features and weight, the floored mean of gains over a document's n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists = batch.column("held")
             flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
             n = np.asarray(flat.field("n"), np.int64)
