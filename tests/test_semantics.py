@@ -278,3 +278,9 @@ def test_streams_equal_batch(spark, tmp_path):
     seen = []
     micro_batches.ingest(source(), lambda df, i: seen.append(df.count()), f"{tmp_path}/c-ingest").awaitTermination(60)
     assert sum(seen) == 12
+
+
+def test_signed_rounds_the_binary_value(spark):
+    """0.845, 2.985 and 7.975 are a little less than they read; thousands are not set apart."""
+    rows = spark.createDataFrame([(0.845,), (2.985,), (7.975,), (0.125,), (-0.845,), (12345.678,), (0.0,), (None,)], "v double")
+    assert [r[0] for r in rows.select(normalize.signed(F.col("v"), "%")).collect()] == ["+0.84%", "+2.98%", "+7.97%", "+0.12%", "-0.84%", "+12345.68%", "+0.00%", "—"]
