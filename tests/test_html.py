@@ -3,6 +3,7 @@
 import random
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tidewire.plans import landed
@@ -106,3 +107,16 @@ def test_xml_that_is_none_gives_no_rows(spark):
     rows = spark.createDataFrame([(1, "nonsense"), (2, None), (3, ""), (4, "<rss><channel/></rss>"), (5, "<rss><channel><item><title>A<b>c</b></title><link>https://e.com/1</link></item>")], "payload_id int, payload string")
     assert payloads.rss_items(rows).count() == 0
     assert payloads.filings(rows, F.lit("x")).count() == 0
+
+
+def test_pages_go_share_by_share(spark, monkeypatch):
+    """Neither a large batch of pages nor one long page is held as tokens at once."""
+    pages = pa.array(["<p>a</p>" * 500, None, "", "<i>b</i>"] * 25)
+    monkeypatch.setattr(html, "MOST_CHARS", 10_000)
+    got = list(html.shares(pages))
+    assert max(sum(len(p.as_py() or "") for p in x) for x in got) <= 10_000 and pa.concat_arrays(got).equals(pages)
+    assert [len(x) for x in html.shares(pa.array([], pa.string()))] == [0]
+    rows = spark.createDataFrame([(1, "<p>a</p>" * 2000), (2, None), (3, "x<b>y")], "k long, page string")
+    flat = html.token_rows(rows, "k", "page").groupBy("k").agg(F.count("*").alias("n"), F.max("at").alias("last")).orderBy("k")
+    assert [tuple(r) for r in flat.collect()] == [(1, 6000, 5999), (3, 3, 2)]
+    assert {r.k: len(r.found) for r in html.tokenized(rows, "k", "page").collect()} == {1: 6000, 2: 0, 3: 3}

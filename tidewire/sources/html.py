@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +73,75 @@ def tokens_of(page: str) -> Iterator[Token]:
         yield "text", "", {}, html.unescape(page[said:])
 
 
+#: Characters of pages, and tokens, that are in Python's hands at once; a longer page is alone.
+MOST_CHARS, MOST_TOKENS = 1 << 20, 1 << 12
+
+
+def told(token: Token) -> dict:
+    kind, name, attributes, text = token
+    return {"kind": kind, "name": name, "attributes": list(attributes.items()), "text": text}
+
+
+def shares(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of pages with about MOST_CHARS bytes each, one page at least."""
+    at, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+        if i > at and held + n > MOST_CHARS:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
+def found_in(pages: pa.Array) -> pa.Array:
+    return pa.array([[told(t) for t in tokens_of(p.as_py() or "")] for p in pages], pa.list_(KIND))
+
+
 def tokens(page: Column) -> Column:
     """The tokens of a page in order: kind, name, attributes and text; null and empty pages have none."""
 
     @F.arrow_udf(f"array<{TOKEN}>")
     def walked(pages: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "name": n, "attributes": list(a.items()), "text": t} for k, n, a, t in tokens_of(p.as_py() or "")] for p in pages], pa.list_(KIND))
+        return pa.concat_arrays([found_in(x) for x in shares(pages)])
 
     return walked(page)
 
 
+def tokenized(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """The key and ``found``, the tokens of each page, share by share, so a large batch of pages is never held as tokens."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for share in shares(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(share)), found_in(share)], [key, "found"])
+                at += len(share)
+
+    return pages.select(key, column).mapInArrow(walked, f"`{key}` {pages.schema[key].dataType.simpleString()}, found array<{TOKEN}>")
+
+
+def token_rows(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """The key, ``at`` (from 0), kind, name, attributes and text of each token: a page of any length goes on token by token."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, dict]] = []
+            for i, page in enumerate(batch.column(1)):
+                for at, token in enumerate(tokens_of(page.as_py() or "")):
+                    rows.append((i, at, told(token)))
+                    if len(rows) == MOST_TOKENS:
+                        yield flat(batch.column(0), rows)
+                        rows = []
+            if rows:
+                yield flat(batch.column(0), rows)
+
+    def flat(keys: pa.Array, rows: list[tuple[int, int, dict]]) -> pa.RecordBatch:
+        found = pa.array([t for _, _, t in rows], KIND)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array([i for i, _, _ in rows])), pa.array([at for _, at, _ in rows], pa.int32()), *found.flatten()], [key, "at", *(f.name for f in KIND)])
+
+    return pages.select(key, column).mapInArrow(walked, f"`{key}` {pages.schema[key].dataType.simpleString()}, at int, kind string, name string, attributes map<string,string>, text string")
+
+
 def single_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -131,7 +191,7 @@ def image_of(found: Column) -> Column:
 
 def page_parts(pages: DataFrame) -> DataFrame:
     """page_id, title, image (as it stands), links and text of pages of page_id and html."""
-    return pages.select("page_id", tokens(F.col("html")).alias("found")).select("page_id", title_of(F.col("found")).alias("title"), image_of(F.col("found")).alias("image"), links_of(F.col("found")).alias("links"), text_of(F.col("found")).alias("text"))
+    return tokenized(pages, "page_id", "html").select("page_id", title_of(F.col("found")).alias("title"), image_of(F.col("found")).alias("image"), links_of(F.col("found")).alias("links"), text_of(F.col("found")).alias("text"))
 
 
 def table_rows(payloads: DataFrame, table_id: str) -> DataFrame:
@@ -141,7 +201,7 @@ def table_rows(payloads: DataFrame, table_id: str) -> DataFrame:
     Only rows of the table of that id count, where a payload has tables at all. Running sums over a payload's tokens number
     its rows, cells, links and spans; a payload is a page.
     """
-    told = payloads.select("payload_id", F.posexplode(tokens(F.col("payload"))).alias("at", "t")).select("payload_id", "at", "t.*")
+    told = token_rows(payloads, "payload_id", "payload")
     page = Window.partitionBy("payload_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     begins = lambda *names: (F.col("kind") == "start") & F.col("name").isin(*names)
     ends = lambda *names: (F.col("kind") == "end") & F.col("name").isin(*names)
