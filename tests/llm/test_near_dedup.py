@@ -97,3 +97,33 @@ def test_pipeline_stage_links_at_four_fifths(spark):
     words = ["w%d" % i for i in range(52)]
     docs = documents(spark, [" ".join(words), " ".join([*words[:20], "edit", *words[21:]]), " ".join(words[::-1])])
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2]
+
+
+def test_branching_grows_with_the_input(spark, rng, monkeypatch):
+    """Sketches of one text's copies, each with two thirds of its tokens: four times as many make about four times the rows."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    made, sized = [], near_dedup.sized
+
+    def counted(members):
+        out = sized(members)
+        made.append(out.count())
+        return out
+
+    class Branched(Exception):
+        pass
+
+    def stop(*_):
+        raise Branched
+
+    monkeypatch.setattr(near_dedup, "sized", counted)
+    monkeypatch.setattr(near_dedup, "alike", lambda batches, agree: iter(()))
+    monkeypatch.setattr(near_dedup, "sets_for", stop)
+    rows = []
+    for n in (150, 600):
+        made.clear()
+        mins = [[t if rng.random() < 0.67 else rng.randrange(1000, 2**31) for t in range(near_dedup.TOKENS)] for _ in range(n)]
+        known = spark.createDataFrame([(i, m, i, i, i) for i, m in enumerate(mins)], "rep long, mins array<int>, low long, set_a long, set_b long")
+        with pytest.raises(Branched):
+            near_dedup.edges_of(known, known, (80, 100))
+        rows.append(sum(made))
+    assert rows[1] <= 6 * rows[0]

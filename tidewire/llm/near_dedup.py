@@ -1,9 +1,9 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct five-word shingles. Documents of equal sets are one set of the join. Each of several
-independent trees branches the sets by selected minwise tokens: a node's sets that share the token of the selected
-coordinate go to the same child. Nodes of at most ``LEAF`` sets are compared exhaustively. A larger node branches again;
-a node that hardly shrinks by branching is dense, that is, most of its sets are alike: its sets are dealt to blocks, each
+independent trees branches the sets by selected minwise tokens: a node's sets that share the tokens of the selected
+coordinates go to the same child. Nodes of at most ``LEAF`` sets are compared exhaustively. A larger node branches again,
+by as many tokens at once as bring its children down to leaves; a node that hardly shrinks by branching is dense, that is, most of its sets are alike: its sets are dealt to blocks, each
 block is compared with a few pivots from the middle of the node and within itself, and what isn't linked to the first pivot
 is compared with every block. So no node is dropped or cut, and no task holds more than a few blocks. Links are confirmed on full sets; a
 comparison is skipped only where both sets are already in one component. Components come from alternating large and
@@ -12,6 +12,7 @@ small stars over written edges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -29,9 +30,11 @@ TOKENS = 64
 TREES = 8
 #: Sets in a node that are compared exhaustively, and in a block of a dense node.
 LEAF = 512
-#: Children per set at a node that branches again, and how often nodes do. With a mean similarity under DENSE a node of a
-#: million sets is down to LEAF long before; what is larger still is compared block by block, so nothing is cut off.
-WAYS = 2
+#: Tokens at most by which a node branches at once, the share of linked pairs that all ways of a node may miss together, and
+#: how often nodes branch. With a mean similarity under DENSE a node of a million sets is down to LEAF long before; what is
+#: larger still is compared block by block, so nothing is cut off.
+JOINT = 8
+MISSED = 0.03
 DEPTH = 24
 #: A large node is dense if SAMPLED of its sets are so similar to one another on average.
 DENSE = 0.6
@@ -266,9 +269,28 @@ def sized(members: DataFrame) -> DataFrame:
     return with_totals(members, ["path"], F.col("rep"), {"size": ("sum", F.lit(1))}, F.col("size") > 1)
 
 
-def child(path: Column, way: Column, level: int) -> Column:
-    coordinate = F.pmod(F.xxhash64(path, way, F.lit(level)), F.lit(TOKENS)).cast("int")
-    return F.xxhash64(path, way, F.get("mins", coordinate))
+def child(path: Column, way: Column, joint: Column, level: int) -> Column:
+    """The child to which a set goes one way: by ``joint`` tokens of different coordinates."""
+    drawn = F.xxhash64(path, way, F.lit(level))
+    step = F.shiftright(drawn, 32).bitwiseOR(F.lit(1))  # odd, so that TOKENS steps meet all coordinates
+    tokens = F.transform(F.sequence(F.lit(0), joint - 1), lambda i: F.get("mins", F.pmod(F.pmod(drawn, F.lit(TOKENS)) + i * F.pmod(step, F.lit(TOKENS)), F.lit(TOKENS)).cast("int")))
+    return F.xxhash64(path, way, tokens)
+
+
+def branching(size: Column, mean: Column, link: tuple[int, int]) -> tuple[Column, Column]:
+    """The number of tokens by which a node branches at once, and of ways.
+
+    Most sets of a large node are often made from one text, whose token each holds with a probability p at a coordinate; two
+    agree there with p * p, so p is the root of the mean. A way of k tokens takes p**k of them to one child and a linked pair
+    with s**k, s being the threshold, so the ways, about 3.5 / s**k, leave about 3.5 * (p / s)**k rows a set in large children.
+    One token at a time, two ways would leave 2 * p rows a set at each level, and so a power of the node's size in the end. A
+    low threshold takes fewer tokens at once, which keeps the ways under 40 there too.
+    """
+    share = min(max(link[0] / link[1], 0.1), 0.99)
+    most = max(1, min(JOINT, int(math.log(0.1) / math.log(share))))
+    joint = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.log(size / (LEAF / 2)) / -F.log(F.sqrt(F.greatest(mean, F.lit(0.01))))))).cast("int")
+    ways = F.ceil(F.log(F.lit(MISSED)) / F.log(1 - F.pow(F.lit(share), joint))).cast("int")
+    return joint, ways
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -284,11 +306,12 @@ def density(members: DataFrame) -> DataFrame:
     return members.groupBy("path").agg(*picked).select("path", mean.alias("mean"), F.array(*(F.col(f"p{i}.mins") for i in range(SAMPLED))).alias("samples"))
 
 
-def judged(members: DataFrame, level: int) -> DataFrame:
+def judged(members: DataFrame, level: int, link: tuple[int, int]) -> DataFrame:
     """path, rep, size, mean (of the node), score (agreement with the node's samples: high at its middle) and, unless the node is dense, the paths of its children."""
     met = salted_join(members, density(members), ["path"], F.col("rep"))
     score = F.aggregate(F.transform("samples", lambda s: agreeing(s, F.col("mins"))), F.lit(0), lambda n, x: n + x)
-    ways = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda w: child(F.col("path"), w, level))
+    joint, n = branching(F.col("size"), F.col("mean"), link)
+    ways = F.transform(F.sequence(F.lit(0), n - 1), lambda w: child(F.col("path"), w, joint, level))
     return pinned(met.select("path", "rep", "size", "mean", score.alias("score"), F.when(F.col("mean") < DENSE, ways).alias("ways")))
 
 
@@ -307,7 +330,7 @@ def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> D
         if level == DEPTH:
             dense.append(large.withColumn("score", F.lit(0)))
             break
-        told = judged(pinned(large.join(sketches, "rep")), level)
+        told = judged(pinned(large.join(sketches, "rep")), level, link)
         dense.append(told.where("ways IS NULL").select("path", "rep", "size", "score"))
         nodes = pinned(sized(told.where("ways IS NOT NULL").select("rep", F.explode("ways").alias("path"))))
         leaves.append(nodes.where(F.col("size") <= LEAF).select("path", F.lit(TREES).alias("tree"), "rep"))
