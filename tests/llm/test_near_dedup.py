@@ -127,3 +127,64 @@ def test_branching_grows_with_the_input(spark, rng, monkeypatch):
             near_dedup.edges_of(known, known, (80, 100))
         rows.append(sum(made))
     assert rows[1] <= 6 * rows[0]
+
+
+class Branched(Exception):
+    pass
+
+
+def rows_made(spark, rng, monkeypatch, n):
+    """The rows of n sketches of one text's copies, each with two thirds of its tokens: those at the roots, and all that branching and comparing make of them."""
+    made, pinned, sized = [], near_dedup.pinned, near_dedup.sized
+
+    def entered(members):
+        made.append(members.count())
+        return sized(members)
+
+    def written(df):
+        out = pinned(df)
+        if out.columns == ["path", "block", "role", "rep"]:
+            made.append(out.count())
+        return out
+
+    def stop(*_):
+        raise Branched
+
+    monkeypatch.setattr(near_dedup, "sized", entered)
+    monkeypatch.setattr(near_dedup, "pinned", written)
+    monkeypatch.setattr(near_dedup, "sketch_agree", lambda link: 0)
+    monkeypatch.setattr(near_dedup, "sets_for", stop)
+    mins = [[t if rng.random() < 0.67 else rng.randrange(1000, 2**31) for t in range(near_dedup.TOKENS)] for _ in range(n)]
+    known = spark.createDataFrame([(i, m, i, i, i) for i, m in enumerate(mins)], "rep long, mins array<int>, low long, set_a long, set_b long")
+    with pytest.raises(Branched):
+        near_dedup.edges_of(known, known, (80, 100))
+    monkeypatch.undo()
+    return made[0], sum(made[1:])
+
+
+def test_a_node_of_a_few_blocks_is_compared_by_blocks(spark, rng, monkeypatch):
+    """Of 80 sets some 54 are in the large node of a root, which is four blocks: three rows a set, and none of ways."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    roots, rest = rows_made(spark, rng, monkeypatch, 80)
+    assert roots == 8 * 80 and rest <= 3 * roots
+
+
+def group(rng, n):
+    """Copies of one text with one to five words changed, some copies of copies: most are not linked."""
+    base = prose(rng, 45).split(" ")
+    texts = [list(base)]
+    for i in range(n):
+        words = list(rng.choice(texts) if i % 4 == 0 else base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = "edit%d" % rng.randrange(10000)
+        texts.append(words)
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize("leaf", [512, 40, 12, 3])
+def test_components_of_a_group_equal_brute_force(spark, rng, monkeypatch, leaf):
+    """Compared in one block, in a few, and by branching or as a dense node."""
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    texts = group(rng, 130)
+    ids = list(range(len(texts)))
+    assert sorted(map(tuple, near_dedup.near_duplicates(documents(spark, texts, ids)).collect())) == expected(ids, texts)

@@ -2,9 +2,9 @@
 
 A document's set holds its distinct five-word shingles. Documents of equal sets are one set of the join. Each of several
 independent trees branches the sets by selected minwise tokens: a node's sets that share the tokens of the selected
-coordinates go to the same child. Nodes of at most ``LEAF`` sets are compared exhaustively. A larger node branches again,
-by as many tokens at once as bring its children down to leaves; a node that hardly shrinks by branching is dense, that is, most of its sets are alike: its sets are dealt to blocks, each
-block is compared with a few pivots from the middle of the node and within itself, and what isn't linked to the first pivot
+coordinates go to the same child. Nodes of at most ``WHOLE`` blocks of ``LEAF`` sets are compared exhaustively, two blocks at
+a time. A larger node branches again, by as many tokens at once as bring its children down to that; a node that hardly
+shrinks by branching is dense, that is, most of its sets are alike: its sets are dealt to blocks, each block is compared with a few pivots from the middle of the node and within itself, and what isn't linked to the first pivot
 is compared with every block. So no node is dropped or cut, and no task holds more than a few blocks. Links are confirmed on full sets; a
 comparison is skipped only where both sets are already in one component. Components come from alternating large and
 small stars over written edges.
@@ -28,8 +28,9 @@ SHINGLE = 5
 #: Minwise tokens of a set, and of them one in each tree's root.
 TOKENS = 64
 TREES = 8
-#: Sets in a node that are compared exhaustively, and in a block of a dense node.
+#: Sets in a block of a node, and blocks of a node that is compared exhaustively: each set goes to WHOLE - 1 pairs of blocks at most.
 LEAF = 512
+WHOLE = 4
 #: Tokens at most by which a node branches at once, the share of linked pairs that all ways of a node may miss together, and
 #: how often nodes branch. With a mean similarity under DENSE a node of a million sets is down to LEAF long before; what is
 #: larger still is compared block by block, so nothing is cut off.
@@ -130,7 +131,7 @@ def sketch_agree(link: tuple[int, int]) -> int:
 def alike(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     """path, tree, rep, mins and leaves sorted by path to the path and rep of sets whose sketch agrees with another's in the node.
 
-    leaves: bits of the trees whose root node of this set is a leaf. Two sets that also meet in an earlier such leaf are
+    leaves: bits of the trees whose root node of this set is compared whole. Two sets that also meet in an earlier such node are
     compared there and not again here.
     """
     bits = 1 << np.arange(TREES)
@@ -269,6 +270,14 @@ def sized(members: DataFrame) -> DataFrame:
     return with_totals(members, ["path"], F.col("rep"), {"size": ("sum", F.lit(1))}, F.col("size") > 1)
 
 
+def cells(size: Column) -> Column:
+    """Where a set of a node of at most WHOLE blocks is compared: in the node, if it is one block, or with each other block of it."""
+    n = F.ceil(size / LEAF).cast("int")
+    own = F.pmod(F.xxhash64("path", "rep"), n).cast("int")
+    others = F.filter(F.sequence(F.lit(0), n - 1), lambda j: j != own)
+    return F.when(n > 1, F.transform(others, lambda j: F.xxhash64(F.col("path"), F.least(own, j), F.greatest(own, j)))).otherwise(F.array("path"))
+
+
 def child(path: Column, way: Column, joint: Column, level: int) -> Column:
     """The child to which a set goes one way: by ``joint`` tokens of different coordinates."""
     drawn = F.xxhash64(path, way, F.lit(level))
@@ -288,7 +297,7 @@ def branching(size: Column, mean: Column, link: tuple[int, int]) -> tuple[Column
     """
     share = min(max(link[0] / link[1], 0.1), 0.99)
     most = max(1, min(JOINT, int(math.log(0.1) / math.log(share))))
-    joint = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.log(size / (LEAF / 2)) / -F.log(F.sqrt(F.greatest(mean, F.lit(0.01))))))).cast("int")
+    joint = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.log(size / (WHOLE * LEAF / 2)) / -F.log(F.sqrt(F.greatest(mean, F.lit(0.01))))))).cast("int")
     ways = F.ceil(F.log(F.lit(MISSED)) / F.log(1 - F.pow(F.lit(share), joint))).cast("int")
     return joint, ways
 
@@ -320,10 +329,11 @@ def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> D
     sketches = known.select("rep", "mins")
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mins", t * (TOKENS // TREES))).alias("path")))
     crowd = pinned(sized(sketches.select("rep", F.explode(roots).alias("n")).select("rep", "n.tree", "n.path")))
-    leaves = [crowd.where(F.col("size") <= LEAF).select("path", "tree", "rep")]
+    whole = F.col("size") <= WHOLE * LEAF
+    leaves = [crowd.where(whole).select("path", "tree", "rep", "size")]
     in_leaf = leaves[0].groupBy("rep").agg(F.sum(F.expr("shiftleft(1L, tree)")).alias("leaves"))
     dense = []
-    large = crowd.where(F.col("size") > LEAF).select("path", "rep", "size")
+    large = crowd.where(~whole).select("path", "rep", "size")
     for level in range(DEPTH + 1):
         if large.isEmpty():
             break
@@ -333,13 +343,13 @@ def edges_of(documents: DataFrame, known: DataFrame, link: tuple[int, int]) -> D
         told = judged(pinned(large.join(sketches, "rep")), level, link)
         dense.append(told.where("ways IS NULL").select("path", "rep", "size", "score"))
         nodes = pinned(sized(told.where("ways IS NOT NULL").select("rep", F.explode("ways").alias("path"))))
-        leaves.append(nodes.where(F.col("size") <= LEAF).select("path", F.lit(TREES).alias("tree"), "rep"))
-        large = nodes.where(F.col("size") > LEAF).select("path", "rep", "size")
+        leaves.append(nodes.where(whole).select("path", F.lit(TREES).alias("tree"), "rep", "size"))
+        large = nodes.where(~whole).select("path", "rep", "size")
     small = leaves[0]
     for x in leaves[1:]:
         small = small.unionByName(x)
     told = sketches.join(in_leaf, "rep", "left").select("rep", "mins", F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    pairs = small.join(told, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(partial(alike, agree=sketch_agree(link)), "path long, rep long")
+    pairs = small.select(F.explode(cells(F.col("size"))).alias("path"), "tree", "rep").join(told, "rep").repartition("path").sortWithinPartitions("path").mapInArrow(partial(alike, agree=sketch_agree(link)), "path long, rep long")
     wanted = pairs.select("path", F.lit(0).alias("block"), F.lit(0).alias("role"), "rep")
     blocks = None
     if dense:
